@@ -36,10 +36,11 @@ class UnknownName(LookupError):
 class Scope:
     """What a name may mean: a row of a frame, an element of a list, bound parameters, or nothing."""
 
-    def __init__(self, parent: Scope | None, ty: Ty | None, frame: Any, item: Callable[[], Column] | None, column: Callable[[str], Column] | None, bindings: dict[str, Any] | None = None, inside_list: bool = False):
+    def __init__(self, parent: Scope | None, ty: Ty | None, frame: Any, item: Callable[[bool], Column] | None, column: Callable[[str, bool], Column] | None, bindings: dict[str, Any] | None = None, inside_list: bool = False):
+        # ``item`` and ``column`` make columns of this frame, or, told so, outer references to them
         self.parent, self.ty, self.frame, self._item, self._column = parent, ty, frame, item, column
         self.bindings = bindings or {}
-        self.inside_list = inside_list or bool(parent and parent.frame is frame and parent.inside_list)
+        self.inside_list = inside_list
 
     @classmethod
     def empty(cls) -> Scope:
@@ -47,21 +48,27 @@ class Scope:
 
     @classmethod
     def of_collection(cls, c: Collection, parent: Scope | None = None) -> Scope:
+        def column(name: str, outer: bool) -> Column:
+            return F.col(f"`{name}`").outer() if outer else F.col(f"`{name}`")
+
         if c.is_record:
             names = c.columns
-            return cls(parent, c.ty, object(), lambda: F.struct(*(F.col(f"`{n}`").alias(n) for n in names)), lambda n: F.col(f"`{n}`"))
-        return cls(parent, c.ty, object(), lambda: F.col("value"), None)
+            return cls(parent, c.ty, object(), lambda outer: F.struct(*(column(n, outer).alias(n) for n in names)), column)
+        return cls(parent, c.ty, object(), lambda outer: column("value", outer), None)
 
     @classmethod
     def of_value(cls, v: Val, parent: Scope) -> Scope:
-        return cls(parent, v.ty, parent.frame, lambda: v.col, None, inside_list=True)
+        return cls(parent, v.ty, parent.frame, lambda outer: v.col, None, inside_list=True)
 
     def bind(self, **bindings: Any) -> Scope:
         return Scope(self, None, self.frame, None, None, bindings)
 
     def as_item(self, v: Val) -> Scope:
         """A scope in which ``v`` is the item, in the same frame."""
-        return Scope(self, v.ty, self.frame, lambda: v.col, None)
+        source = next((s for s in self.rows() if s.ty is v.ty), None)
+        if source is not None and not source.inside_list:  # the row itself: its columns stay reachable from subqueries
+            return Scope(self, v.ty, source.frame, source._item, source._column)
+        return Scope(self, v.ty, self.frame, lambda outer: v.col, None, inside_list=True)
 
     def rows(self):
         s: Scope | None = self
@@ -79,30 +86,30 @@ class Scope:
         return None
 
     def value(self, frame: Any) -> Val:
-        return Val(self._seen(self._item, frame), self.ty)
+        return Val(self._item(self._outer(frame)), self.ty)
 
     def member(self, name: str, frame: Any) -> Val | None:
         found = self.ty.field(name) if self.ty is not None and self.ty.kind == "record" else None
         if not found:
             return None
         if self._column is not None:
-            return Val(self._seen(lambda: self._column(found[0]), frame), found[1])
-        return Val(self._seen(self._item, frame)[found[0]], found[1])
+            return Val(self._column(found[0], self._outer(frame)), found[1])
+        return Val(self._item(self._outer(frame))[found[0]], found[1])
 
-    def _seen(self, make: Callable[[], Column], frame: Any) -> Column:
-        """The column as seen from ``frame``: an outer reference if it belongs to another one."""
+    def _outer(self, frame: Any) -> bool:
+        """Whether a use in ``frame`` is an outer reference."""
         if frame is self.frame:
-            return make()
-        if self._column is None and self.ty.kind == "record" or self.inside_list:
+            return False
+        if self.inside_list:
             raise RuleTypeError("a collection inside a list element cannot look at that element: select it into its own collection first")
-        return make().outer()
+        return True
 
 
 class GroupScope(Scope):
     """Scope of a group: ``Key``, ``Items``, ``Count``; what is used becomes an aggregate."""
 
     def __init__(self, base: Collection, key: Val | None):
-        super().__init__(None, K.record([("Key", K.STRING), ("Items", K.list_of(base.ty)), ("Count", K.INT)], "Group"), object(), lambda: F.lit(None), None)
+        super().__init__(None, K.record([("Key", K.STRING), ("Items", K.list_of(base.ty)), ("Count", K.INT)], "Group"), object(), lambda outer: F.lit(None), None)
         self.base, self.key = base, key
         self.aggregates: dict[str, Column] = {}
         self.uses_key, self.key_column = False, fresh("__g")
@@ -554,7 +561,7 @@ class Planner:
     def collection_member(self, c: Collection, name: str, args: tuple[Node, ...], scope: Scope) -> Any:
         inner = Scope.of_collection(c, scope)
         if name == "Where":
-            return c.with_df(c.df.where(truthy(self.as_predicate(args[0], inner))))
+            return self.filtered(c, args[0], scope)
         if name == "Select":
             out = self.evaluate(args[0], inner)
             return c.project(self.as_value(out, inner))
@@ -575,7 +582,7 @@ class Planner:
         if name == "Text":
             return c.joined(self.template(args[0].value, inner), "\n")
         if name in ("First", "Last", "Single"):
-            base = c.with_df(c.df.where(truthy(self.as_predicate(args[0], inner)))) if args else c
+            base = self.filtered(c, args[0], scope) if args else c
             one = {"First": base.first, "Last": base.last, "Single": base.single}[name]()
             return Val(one.df.select(one.item().col.alias("x")).scalar(), c.ty)
         if name == "ElementAt":
@@ -593,6 +600,32 @@ class Planner:
             return Collection(keys, K.record([("n", K.INT)]), (), self).count()
         return self.collection_member(g.materialised(), name, args, scope)
 
+    @staticmethod
+    def isolated(c: Collection, scope: Scope) -> tuple[Collection, Scope, str]:
+        """A collection whose rows stand in one column of a fresh name, and the scope of such a row: inside a subquery a
+        name of the rows around must not be taken for one of its own."""
+        if next(scope.rows(), None) is None:
+            return c, Scope.of_collection(c, scope), ""
+        x = fresh("__x")
+        # the alias is a barrier: names below it are out of reach
+        df = c.df.select(c.item().col.alias(x), *(F.col(o.column) for o in c.order)).alias(x)
+
+        def whole(outer: bool) -> Column:
+            return F.col(x).outer() if outer else F.col(x)
+
+        inner = Scope(scope, c.ty, object(), whole, (lambda n, outer: whole(outer)[n]) if c.is_record else None)
+        return replace(c, df=df), inner, x
+
+    def filtered(self, c: Collection, node: Node, scope: Scope) -> Collection:
+        """``C.Where(p)``, where ``p`` may look at the rows around."""
+        alone, inner, x = self.isolated(c, scope)
+        kept = alone.df.where(truthy(self.as_predicate(node, inner)))
+        if not x:
+            return c.with_df(kept)
+        orders = [F.col(o.column) for o in c.order]  # no look at the schema: outer names are not resolved yet
+        cols = [F.col(x)[n].alias(n) for n in c.columns] if c.is_record else [F.col(x).alias("value")]
+        return c.with_df(kept.select(*cols, *orders))
+
     # predicates
     def predicate_of(self, node: Node, scope: Scope) -> Callable[[Val], Val]:
         return lambda v: self.as_predicate(node, Scope.of_value(v, scope))
@@ -677,11 +710,12 @@ class Planner:
 
     def collection_test(self, c: Collection, name: str, args: tuple[Any, ...] | None, negated: bool, scope: Scope, inner: Scope) -> Val:
         """any, none, all, empty, contains over a collection: EXISTS with outer references to the rows around it."""
+        c, inner, _ = self.isolated(c, scope)
         df = c.df
         if name == "contains":
-            probe = self.as_value(self.evaluate(args[0], scope), scope)
-            seen = self._outer(args[0], scope, inner, probe)
-            df, found = df.where(V.equal(Val(F.col("value"), c.ty), seen)), True
+            hidden = Scope(scope, None, inner.frame, None, None)
+            probe = self.as_value(self.evaluate(args[0], hidden), hidden) if not isinstance(args[0], Val) else args[0]
+            df, found = df.where(V.equal(inner.value(inner.frame), probe)), True
         elif name == "empty":
             found = False
         else:
@@ -690,13 +724,6 @@ class Planner:
         col = df.exists() if found else ~df.exists()
         return boolean(~col if negated else col)
 
-    def _outer(self, node: Any, scope: Scope, inner: Scope, probe: Val) -> Val:
-        """A value of the rows around, as seen inside the subquery."""
-        if probe.is_const or isinstance(node, Val):
-            return probe
-        hidden = Scope(scope, None, inner.frame, None, None)
-        return self.as_value(self.evaluate(node, hidden), hidden)
-
     def predicate(self, v: Val, name: str, args: Any, scope: Scope) -> Val:
         """``v:name(args)`` on one value; false on null, whose negation is true."""
         if name in self.program.predicates:
@@ -750,20 +777,17 @@ class Planner:
         values = arg if isinstance(arg, Val) else self.evaluate(arg, scope)
         if isinstance(values, Collection):
             # membership in a projected collection: a semi join on the lower-case text; null is in nothing
-            c = values
-            item = Val(F.col("value"), c.ty) if not c.is_record else c.item()
-            if c.ty.numeric and v.ty.numeric:
+            x = fresh("__x")
+            df = values.df.select(values.item().col.alias(x)).alias(x)
+            item = Val(F.col(x), values.ty)
+            if values.ty.numeric and v.ty.numeric:
                 test = item.col == v.col.outer()
             else:
-                test = V.lowered(item) == self._as_outer(V.lowered(v))
-            return boolean(F.coalesce(c.df.where(test).exists(), F.lit(False)))
+                test = V.lowered(item) == V.lowered(v).outer()
+            return boolean(F.coalesce(df.where(test).exists(), F.lit(False)))
         test = V.member_of(v, self.as_value(values, scope))
         return boolean(F.coalesce(test & v.col.isNotNull(), F.lit(False)))
 
-    @staticmethod
-    def _as_outer(c: Column) -> Column:
-        return c.outer()
-
     # functions
     def type_matches(self, declared: str, ty: Ty) -> bool:
         plain = declared.strip("[]")
