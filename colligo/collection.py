@@ -120,7 +120,7 @@ class Collection:
 
     # filters and projections
     def where(self, predicate: Any) -> Collection:
-        return self.with_df(self.df.where(V.truthy(self.value_of(predicate))))
+        return self.with_df(self.df.where(V.condition(self.value_of(predicate))))
 
     def filter(self, name: str, *args: Any, negated: bool = False) -> Collection:
         """``C:name(args)`` of the rule language."""
@@ -251,7 +251,7 @@ class Collection:
     # whole-collection values
     def scalar(self, aggregate: Column) -> Column:
         """A value over the whole collection, as a scalar subquery."""
-        return self.df.agg(aggregate.alias("x")).scalar()
+        return self.df.select(aggregate.alias("x")).scalar()  # select, not agg: nothing may look at the schema yet
 
     def count(self) -> V.Val:
         return V.Val(F.coalesce(self.scalar(F.count(F.lit(1))), F.lit(0).cast("bigint")), K.INT)

@@ -24,11 +24,13 @@ class RuleTypeError(TypeError):
 
 @dataclass(frozen=True)
 class Val:
-    """A column with its type; ``const`` is its value where that is known at plan time."""
+    """A column with its type; ``const`` is its value where that is known at plan time. ``positive`` of a test is a column
+    that is true just where the test holds and may be null elsewhere: enough for a filter, and open to the scan."""
 
     col: Column
     ty: Ty
     const: Any = NO_CONSTANT
+    positive: Column | None = None
 
     @property
     def is_const(self) -> bool:
@@ -68,8 +70,15 @@ def truthy(v: Val) -> Column:
     return F.lit(v.const is not None) if v.is_const else v.col.isNotNull()
 
 
-def boolean(col: Column) -> Val:
-    return Val(col, BOOL)
+def boolean(col: Column, positive: Column | None = None) -> Val:
+    return Val(col, BOOL, NO_CONSTANT, positive)
+
+
+def condition(v: Val) -> Column:
+    """A value as the condition of a filter, where null and false are one."""
+    if v.positive is not None:
+        return v.positive
+    return v.col if v.ty.kind == "bool" and not v.is_const else truthy(v)
 
 
 def as_text(v: Val) -> Column:
@@ -129,7 +138,7 @@ def compare(op: str, a: Val, b: Val) -> Column:
 
     x, y = side(a, b), number(b)
     out = x < y if op == "<" else x > y if op == ">" else x <= y if op == "<=" else x >= y
-    return F.coalesce(out, F.lit(False)) if not (a.ty.numeric and b.is_const) else out
+    return out
 
 
 def _bits(v: Val) -> Column:

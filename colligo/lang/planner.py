@@ -20,7 +20,7 @@ from colligo.collection import Collection, fold_column, fresh, joined_text
 from colligo.functions import types as K
 from colligo.functions import values as V
 from colligo.functions.types import Ty
-from colligo.functions.values import RuleTypeError, Val, boolean, literal, truthy
+from colligo.functions.values import RuleTypeError, Val, boolean, condition, literal, truthy
 from colligo.lang.ast import Binary, Call, Conditional, Filter, FunctionDecl, Guard, ListOf, Literal, Match, Member, Name, Node, Not, PredicateDecl, Record
 from colligo.lang.parser import parse_expression
 from colligo.lang.template import parts_of
@@ -29,6 +29,10 @@ TRANSFORMS = frozenset("Select Where OrderBy OrderByDescending Sum Min Max Avera
 QUANTIFIERS = frozenset(("any", "none", "all"))
 
 
+#: Marks the scope of a function's body, where texts are templates.
+TEMPLATES = "{}"
+
+
 class UnknownName(LookupError):
     pass
 
@@ -201,6 +205,14 @@ class Closure:
     bound: tuple[Any, ...] = ()
 
 
+@dataclass(frozen=True)
+class One:
+    """A value over the single row of a collection: what ``First`` and its kin give outside of any row."""
+
+    row: Collection
+    value: Val
+
+
 @dataclass(frozen=True)
 class Namespace:
     name: str
@@ -245,6 +257,9 @@ class Planner:
     def as_collection(self, out: Any) -> Collection:
         if isinstance(out, GroupedCollection):
             return out.materialised()
+        if isinstance(out, One):
+            c = replace(out.row, planner=self)
+            return c.flatten(out.value) if out.value.ty.kind == "list" else c.project(out.value)
         if isinstance(out, Collection):
             return replace(out, planner=self)
         if isinstance(out, Val) and out.is_const and isinstance(out.const, list):
@@ -265,6 +280,8 @@ class Planner:
             return Val(F.struct(key.col.alias("Key"), GroupItems(out.scope).listed().col.alias("Items"), GroupItems(out.scope).fold("Count").col.alias("Count")), out.scope.ty)
         if isinstance(out, Collection):
             return self.listed(out)
+        if isinstance(out, One):
+            return Val(out.row.df.select(out.value.col.alias("x")).scalar(), out.value.ty)
         if isinstance(out, Closure):
             return self.as_value(self.apply(out.name, list(out.bound), scope, item=True), scope)
         raise RuleTypeError("a value is needed here")
@@ -278,6 +295,8 @@ class Planner:
     # evaluation
     def evaluate(self, node: Node, scope: Scope) -> Any:
         if isinstance(node, Literal):
+            if isinstance(node.value, str) and "{" in node.value and scope.bound(TEMPLATES):  # inside a function's body
+                return self.template(node.value, scope, strict=False)
             return literal(node.value)
         if isinstance(node, Name):
             return self.name(node.name, scope)
@@ -372,7 +391,7 @@ class Planner:
         if name.lower() == "empty" and (s := next(scope.rows(), None)) is not None:
             return self.predicate(s.value(self.frame(scope)), "empty", [], scope)
         if self.catalog.has(name):
-            return self.catalog.find(name)
+            return self.adopted(self.catalog.find(name))
         if name in self.catalog.namespaces() or name in self.catalog.aggregates:
             return Namespace(name)
         if name == "Program":
@@ -416,6 +435,9 @@ class Planner:
     def member_of(self, target: Any, name: str, args: tuple[Node, ...] | None, scope: Scope) -> Any:
         if isinstance(target, GroupedCollection):
             return self.grouped_member(target, name, args or (), scope)
+        if isinstance(target, One):
+            inner = Scope.of_collection(target.row)
+            return One(target.row, self.as_value(self.member_of(target.value, name, args, inner), inner))
         if isinstance(target, Namespace):
             return self.namespace_member(target, name, args, scope)
         if isinstance(target, Collection):
@@ -440,8 +462,26 @@ class Planner:
         if name in self.catalog.aggregates and ns.members is None:  # csharp.Code('p')
             return Namespace(name, path, (ns.name,))
         if ns.name in self.catalog.aggregates or ns.members is not None:
-            return self.catalog.union_of(name, ns.members, path if path is not None else ns.path)
-        return self.catalog.at_path(ns.name, name, path) if path is not None else self.catalog.get(ns.name, name)
+            return self.adopted(self.catalog.union_of(name, ns.members, path if path is not None else ns.path))
+        return self.adopted(self.catalog.at_path(ns.name, name, path) if path is not None else self.catalog.get(ns.name, name))
+
+    def adopted(self, c: Collection) -> Collection:
+        """A collection whose nested records carry the type names that its declared item type gives them."""
+        return replace(c, ty=self.adopt(c.ty, c.ty.name), planner=self)
+
+    def adopt(self, ty: Ty, name: str | None, depth: int = 0) -> Ty:
+        declared = self.program.types.get(name or "")
+        if ty.kind != "record" or declared is None or declared.kind != "record" or depth > 8:
+            return ty
+        fields = []
+        for n, t in ty.fields:
+            found = declared.field(n)
+            if found and t.kind == "list" and found[1].kind == "list" and found[1].elem.name:
+                t = K.list_of(self.adopt(t.elem, found[1].elem.name, depth + 1))
+            elif found and t.kind == "record" and found[1].name:
+                t = self.adopt(t, found[1].name, depth + 1)
+            fields.append((n, t))
+        return K.record(fields, name, declared.bases or ty.bases)
 
     def lambda_of(self, args: tuple[Node, ...], scope: Scope, index: int = 0) -> Callable[[Val], Val]:
         """An argument as a function of an element: the element itself if it is absent."""
@@ -584,10 +624,9 @@ class Planner:
         if name in ("First", "Last", "Single"):
             base = self.filtered(c, args[0], scope) if args else c
             one = {"First": base.first, "Last": base.last, "Single": base.single}[name]()
-            return Val(one.df.select(one.item().col.alias("x")).scalar(), c.ty)
+            return self.lone(one, scope)
         if name == "ElementAt":
-            one = c.element_at(int(self.value(args[0], scope).const))
-            return Val(one.df.select(one.item().col.alias("x")).scalar(), c.ty)
+            return self.lone(c.element_at(int(self.value(args[0], scope).const)), scope)
         return c.flatten(self.as_value(self.member_of(inner.value(inner.frame), name, args or None, inner), inner))
 
     def grouped_member(self, g: GroupedCollection, name: str, args: tuple[Node, ...], scope: Scope) -> Any:
@@ -619,13 +658,20 @@ class Planner:
     def filtered(self, c: Collection, node: Node, scope: Scope) -> Collection:
         """``C.Where(p)``, where ``p`` may look at the rows around."""
         alone, inner, x = self.isolated(c, scope)
-        kept = alone.df.where(truthy(self.as_predicate(node, inner)))
+        kept = alone.df.where(condition(self.as_predicate(node, inner)))
         if not x:
             return c.with_df(kept)
         orders = [F.col(o.column) for o in c.order]  # no look at the schema: outer names are not resolved yet
         cols = [F.col(x)[n].alias(n) for n in c.columns] if c.is_record else [F.col(x).alias("value")]
         return c.with_df(kept.select(*cols, *orders))
 
+    @staticmethod
+    def lone(one: Collection, scope: Scope) -> One | Val:
+        """The item of a collection of one row at most: a scalar subquery inside rows, else the row itself."""
+        if next(scope.rows(), None) is None:
+            return One(one, one.item())
+        return Val(one.df.select(one.item().col.alias("x")).scalar(), one.ty)
+
     # predicates
     def predicate_of(self, node: Node, scope: Scope) -> Callable[[Val], Val]:
         return lambda v: self.as_predicate(node, Scope.of_value(v, scope))
@@ -645,7 +691,7 @@ class Planner:
                 c = replace(base, planner=self)
                 inner = Scope.of_collection(c, scope)
                 test = self.predicate(inner.member(found[0], inner.frame), node.name, self.args(node.args, inner), inner)
-                return c.with_df(c.df.where(~truthy(test) if node.negated else truthy(test)))
+                return c.with_df(c.df.where(~truthy(test) if node.negated else condition(test)))
             if isinstance(base, Val) and base.ty.kind == "record" and (found := base.ty.field(node.target.name)) and found[1].kind != "bool":
                 test = self.predicate(Val(base.col[found[0]], found[1]), node.name, self.args(node.args, scope), scope)
                 return boolean(~truthy(test)) if node.negated else test
@@ -659,7 +705,7 @@ class Planner:
                 out = target.quantified(node.name, truthy(self.as_predicate(node.args[0], target.inner())) if node.args else F.lit(True))
                 return boolean(~out.col) if node.negated else out
             target = target.listed()
-        if isinstance(target, Closure):
+        if isinstance(target, (Closure, One)):
             target = self.as_value(target, scope)
         if target.ty.kind == "list" and node.name in QUANTIFIERS:
             p = self.predicate_of(node.args[0], scope) if node.args else (lambda v: literal(True))
@@ -669,7 +715,7 @@ class Planner:
                 if node.negated:
                     raise RuleTypeError(f"{node.name} is a function and cannot be negated")
                 return self.apply(node.name, [target, *self.template_args(node.args, scope.as_item(target))], scope.as_item(target), item=False)
-            out = self.predicate(target, node.name, node.args if node.name in ("in", "contains", "any", "none", "all") else self.args(node.args, scope), scope)
+            out = self.predicate(target, node.name, node.args if node.name in ("in", "contains", "any", "none", "all", "matches") else self.args(node.args, scope), scope)
             if out.ty.kind != "bool":
                 return out
         return boolean(~truthy(out)) if node.negated else out
@@ -701,7 +747,7 @@ class Planner:
                 return c.project(self.as_value(self.apply(held.name, [*held.bound, inner.value(inner.frame)], inner, item=False), inner))
         test = self.predicate(inner.value(inner.frame), name, list(args) if name in ("in",) and args else self.args(args, inner), inner)
         narrowed = next((p.narrowed for p in self.program.predicates.get(name, []) if p.narrowed), None)
-        out = c.with_df(c.df.where(~truthy(test) if negated else truthy(test)))
+        out = c.with_df(c.df.where(~truthy(test) if negated else condition(test)))
         if narrowed and not negated and out.is_record:
             declared = self.program.types.get(narrowed)
             bases = tuple(b for b in ((declared.bases if declared else ()) + ((c.ty.name,) if c.ty.name else ()) + c.ty.bases))
@@ -719,7 +765,8 @@ class Planner:
         elif name == "empty":
             found = False
         else:
-            test = truthy(self.as_predicate(args[0], inner)) if args else F.lit(True)
+            held = self.as_predicate(args[0], inner) if args else literal(True)
+            test = truthy(held) if name == "all" else condition(held)
             df, found = df.where(~test if name == "all" else test), name == "any"
         col = df.exists() if found else ~df.exists()
         return boolean(~col if negated else col)
@@ -737,6 +784,8 @@ class Planner:
                 return boolean(V.list_contains(v, self.args(tuple(args), scope)[0]))
             if name == "empty":
                 return boolean(F.coalesce(F.size(v.col) == 0, F.lit(False)))
+        if name == "matches" and args and isinstance(args[0], Literal):  # braces of a pattern are its own
+            args = [literal(args[0].value), *args[1:]]
         vals = self.args(tuple(args or ()), scope)
         if v.ty.kind == "record":
             found = v.ty.field(name)
@@ -771,7 +820,9 @@ class Planner:
                 return self.apply(name, [v, *vals], scope, item=False)
             raise UnknownName(f"{v.ty.name or v.ty.kind} has no predicate {name}")
         # a test of null is false, so that its negation is true
-        return boolean(F.coalesce(test & v.col.isNotNull() if name in ("greaterThan", "lessThan", "greaterOrEqual", "lessOrEqual", "isSet", "isClear") else test, F.lit(False)))
+        if name in ("lessThan", "lessOrEqual", "greaterThan", "greaterOrEqual", "isSet", "isClear"):
+            return boolean(F.coalesce(test & v.col.isNotNull(), F.lit(False)), test & v.col.isNotNull())
+        return boolean(F.coalesce(test, F.lit(False)), test)
 
     def in_predicate(self, v: Val, arg: Any, scope: Scope) -> Val:
         values = arg if isinstance(arg, Val) else self.evaluate(arg, scope)
@@ -847,25 +898,27 @@ class Planner:
         plain = [p for p in overloads if not p.guard]
         typed = [p for p in plain if self.type_matches(f"[{p.param}]" if p.is_list else p.param, target.ty)]
         rest = typed[:1] or (plain[:1] if len(plain) == 1 or not guarded else [])
-        out = self.body(rest[0].body, rest[0].param, target, scope) if rest else F.lit(False)
+        plain_body = self.body(rest[0].body, rest[0].param, target, scope) if rest else literal(False)
+        if rest and not guarded and target.ty.kind in ("record", "list"):
+            return boolean(truthy(plain_body), condition(plain_body))
+        out = truthy(plain_body)
         for p in reversed(guarded):
-            out = F.when(self.guard(target, p.guard, scope), self.body(p.body, p.param, target, scope)).otherwise(out)
+            out = F.when(self.guard(target, p.guard, scope), truthy(self.body(p.body, p.param, target, scope))).otherwise(out)
         if not rest and not guarded:
             raise RuleTypeError(f"{overloads[0].name} does not take {target.ty.name or target.ty.kind}")
         return boolean(F.coalesce(out & target.col.isNotNull() if target.ty.kind not in ("record", "list") else out, F.lit(False)))
 
-    def body(self, node: Node, param: str, target: Val, scope: Scope) -> Column:
-        inner = scope.as_item(target).bind(**{param: target})
-        return truthy(self.value(node, inner))
+    def body(self, node: Node, param: str, target: Val, scope: Scope) -> Val:
+        return self.value(node, scope.as_item(target).bind(**{param: target}))
 
     def apply_function(self, overloads: list[FunctionDecl], args: list[Any], scope: Scope) -> Any:
         first = args[0]
         ty = first.ty if isinstance(first, (Val, Collection)) else K.OTHER
 
         def run(f: FunctionDecl) -> Any:
-            bindings = {p: a for (p, _), a in zip(f.params, args)}
+            bindings = {p: a for (p, _), a in zip(f.params, args)} | {TEMPLATES: True}
             inner = scope.as_item(first).bind(**bindings) if isinstance(first, Val) and not isinstance(first, Closure) else scope.bind(**bindings)
-            return self.evaluate(f.body, inner) if f.record or not isinstance(f.body, Literal) else self.text_value(f.body, inner)
+            return self.evaluate(f.body, inner)
 
         guarded = [f for f in overloads if f.guard and self.type_matches(f.params[0][1], ty)]
         plain = [f for f in overloads if not f.guard]
@@ -953,9 +1006,11 @@ class Planner:
     def binary(self, node: Binary, scope: Scope) -> Any:
         op = node.op
         if op == "&&":
-            return boolean(truthy(self.value(node.left, scope)) & truthy(self.value(node.right, scope)))
+            a, b = self.value(node.left, scope), self.value(node.right, scope)
+            return boolean(truthy(a) & truthy(b), condition(a) & condition(b))
         if op == "||":
-            return boolean(truthy(self.value(node.left, scope)) | truthy(self.value(node.right, scope)))
+            a, b = self.value(node.left, scope), self.value(node.right, scope)
+            return boolean(truthy(a) | truthy(b), condition(a) | condition(b))
         left, right = self.evaluate(node.left, scope), self.evaluate(node.right, scope)
         if op == "+" and isinstance(left, (Collection, GroupedCollection)) or op == "+" and isinstance(right, (Collection, GroupedCollection)):
             return self.as_collection(left).union(self.as_collection(right))
@@ -969,7 +1024,8 @@ class Planner:
         if op == "!=":
             return boolean(~V.equal(a, b))
         if op in ("<", ">", "<=", ">="):
-            return boolean(V.compare(op, a, b))
+            out = V.compare(op, a, b)
+            return boolean(F.coalesce(out, F.lit(False)), out)
         if op == "+":
             return V.add(a, b)
         if op == "-":
