@@ -90,6 +90,7 @@ def segments(knots: Knots) -> list[tuple[float, float, float, float, float]]:
     area = sum((t1 - t0) * (w0 + w1) / 2 for (t0, w0), (t1, w1) in zip(knots, knots[1:]))
     if area <= 0 or knots[0][0] != 0 or knots[-1][0] != 1 or any(w < 0 for _, w in knots):
         raise ValueError("a schedule runs from 0 to 1 with weights that are not negative and not all 0")
+    knots = [(float(t), float(w)) for t, w in knots]
     out, q = [], 0.0
     for (t0, w0), (t1, w1) in zip(knots, knots[1:]):
         if t1 <= t0:
