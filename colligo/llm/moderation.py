@@ -66,7 +66,7 @@ THINGS = ("parser", "cache", "build", "test", "query", "worker", "schema", "fold
 ORDINARY = (
     "this stupid bug cost me the whole afternoon", "this stupid {t} cost me a day", "the damn {t} is stale again, sorry for the noise", "the damn {t} fails again", "this {t} is ugly and the docs are worthless, but it works", "this {t} is garbage and should be rewritten", "what a mess, the {t} is broken again", "the {t} sucks, I hate this {t}", "I hate this flaky {t}", "the code is crap but it works", "shit, the {t} broke again", "that was a dumb mistake of mine, sorry", "I was an idiot, I forgot the flag", "my bad, stupid typo of mine", "a dumb pipe is enough here, no smart routing", "the {t} is dumb but correct", "a dumb terminal shows it", "the installer is meant to be idiot-proof", "garbage in, garbage out: the collector cannot guess", "the garbage collector frees the rest", "the parser chokes on trash bytes at the end", "kill the child process and its orphans before the daemon starts", "kill -9 did not help", "kill the parent process first", "the watchdog kills the worker", "abort hard, then execute the hook that kills the worker", "the {t} blew up and died with exit code 137", "the job died and was killed by the scheduler", "the slave replica is stale", "the master node drops slaves that miss three heartbeats", "the master and the slaves disagree", "the male and female connector types share one enum", "male and female plugs", "a penetration test before each release", "we run a penetration test every month", "strip the body of the request and dump the rest", "strip the header and dump the table", "naked domains need an extra record", "a naked pointer is unsafe", "expose the raw socket to the guest", "hot swapping exposes the raw socket to the guest", "an adult table keeps the rows older than eighteen days", "sexagesimal angles are converted to degrees", "foreign keys are dropped and minorities of the votes are ignored", "the foreign key is missing", "the black list and the white list", "blacklist the host", "execute the command and terminate the thread", "the attack surface is small", "inject the dependency and shoot down the probe", "a bastard file is left behind", "the dead letter queue holds them", "the cock crows in the test data of Essex and Scunthorpe", "Dick Hardt wrote the specification", "analyse the assets and the assembly", "pass the class to the assassin test", "a suicide timer ends the process", "zombie children are reaped by init", "the daemon forks a child and the parent dies", "touch the file, mount the disk and unzip it", "fsck the volume and finger the user", "the watchdog beats, bites and barks", "the bloody {t} hangs again", "why on earth does the {t} do this",
     "Die Regel ist dumm, aber sie funktioniert", "Der Test ist Mist und muss neu geschrieben werden", "Der verdammte Cache ist wieder veraltet", "Der Kindprozess wird vom Elternprozess beendet", "Das ist Müll, bitte neu schreiben", "Esta prueba es una basura, hay que reescribirla", "El proceso hijo muere con el padre", "Este maldito error me costó la tarde", "Le processus enfant est tué par le parent", "Ce test est nul, il faut le réécrire", "Ce fichu cache est encore périmé", "Cette règle est bête mais elle marche",
-    "call x with the record you want to open", "call x with the {t} you want to use", "how to open a {t}", "how to sort a {t}", "how to trim a list", "src/CursorOrder.cs(12): warning", "lib/LedgerSession.cs(5): error", "self.schema.meter.save(record, 12)", "this.parcelRecord.rotateSegment(value)", "the merged schema when the schema is null", "used to split zones on the second run", "would split a bundle in many files", "the response client can fetch any response", "unhandled OrderLedgerException", "refuses to split a meter and nobody knows why", "sort any quota with a meter without a warning",
+    "call x with the record you want to open", "call x with the {t} you want to use", "how to open a {t}", "how to sort a {t}", "how to trim a list", "src/CursorOrder.cs(12): warning", "lib/LedgerSession.cs(5): error", "self.schema.meter.save(record, 12)", "this.parcelRecord.rotateSegment(value)", "the merged schema when the schema is null", "used to split zones on the second run", "rule LW has no test that would open a {t} and nobody knows why", "that would open a {t} for all public types", "the {t} writer must open the buffer twice", "would split a bundle in many files", "the response client can fetch any response", "unhandled OrderLedgerException", "refuses to split a meter and nobody knows why", "sort any quota with a meter without a warning",
     "rule LW reports every method whose name ends with Async but returns no task", "the {t} returns the renamed profile without a warning", "looks good to me, only the name of the field is unclear", "we saw violations in the package after the upgrade", "filter the collection first, then load each item", "the section about contracts still shows the old signature", "somebody on the team refuses to merge a request and nobody knows why", "nobody knows why the {t} fails to filter the list", "the second overload does not trim the region without a warning", "this change lets the parser rebuild nested pipelines and closes issue", "the log says the cursor has moved on right before the {t} stops", "unknown folder layout", "replica lags behind", "nothing left to flush", "too many open shards", "lease is held elsewhere", "no route for this tenant", "quota reached for the day", "retry after the window closes", "the batch was empty", "schema version is older than expected", "snapshot and journal disagree", "digest does not fit the manifest", "please add a test for a token without cache", "you can pass your own reader to the loader", "thanks for the report, I will look at it tomorrow", "if you want to see the rest, show me the log", "I know where the bug lives, watch the release notes", "I would rather flush the shard lazily than pull it on every request", "on my laptop the run took seconds", "call it with the value you want to save", "as the guide says", "sent from the tracker", "edited: typo", "can you send me the file", "I want to keep the old name", "they ought to be removed in the next release", "never let the cache grow, it ruins performance", "your patch looks great, show me the rest", "Depuis la version, le contrôle prend quelques secondes", "Le journal affiche un message juste avant l'arrêt", "La méthode renvoie désormais un objet", "Merci de relire la section", "Si le cache est vide, le journal reste ouvert", "Nach dem Wechsel dauert der Lauf Sekunden", "Bitte den Abschnitt noch einmal prüfen", "Im Protokoll steht eine Meldung, kurz bevor der Dienst anhält", "Wenn der Puffer leer ist, bleibt die Sitzung offen", "Ich weiß, wo der Fehler steckt", "Du kannst den Test jetzt starten", "Desde la versión el análisis tarda segundos", "El registro dice el mensaje justo antes de parar", "Por favor, revisa la sección", "El método devuelve ahora un objeto", "Si el paquete está vacío, la ruta queda abierta", "Primero se filtra la colección y luego se agrupa", "Sé dónde está el error", "Tu peux relancer le test",
 )
 
