@@ -31,3 +31,15 @@ def cut(df: DataFrame) -> DataFrame:
 def parallelism(spark: SparkSession) -> int:
     """Partitions to aim at: the session's shuffle setting, at least the cores at hand."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism)
+
+
+def spread(rows: DataFrame, source: DataFrame) -> DataFrame:
+    """``rows``, columns of the scan ``source``, in enough partitions for work that costs far more than reading.
+
+    A scan splits by bytes: a table of few megabytes, or of one large row group, gives fewer tasks than there are cores.
+    Then, and only then, the rows are dealt out; a table with a partition for every core stays where it is read."""
+    spark = source.sparkSession
+    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    wanted = parallelism(spark)
+    conf = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return rows.repartition(2 * wanted) if size < wanted * int(conf) else rows
