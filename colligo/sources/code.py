@@ -19,6 +19,7 @@ from pyspark.sql.types import StructType
 
 from colligo.collection import Collection
 from colligo.functions import types as K
+from colligo.runtime import spread
 from colligo.sources.text import language_of, read_texts, regions_of
 
 # Modifier flags.
@@ -575,7 +576,7 @@ def parsed_files(files: DataFrame, key: str = "file_id", path: str = "path", tex
             yield pa.RecordBatch.from_arrays([*b.columns, *arrays], names=[*b.schema.names, "types", "statements"])
 
     named = files.select(key, F.col(path).alias("path"), language_of(F.col(path)).alias("language"), F.col(text).alias("raw_text")).where(F.col("language").isin(list(PARSERS)))
-    return named.mapInArrow(run, f"`{key}` {kind.simpleString()}, path string, language string, raw_text string, {PARSED}")
+    return spread(named, files).mapInArrow(run, f"`{key}` {kind.simpleString()}, path string, language string, raw_text string, {PARSED}")
 
 
 def _file() -> Column:
