@@ -24,6 +24,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from colligo.runtime import spread
+
 OWN_OWNERS = ("lanternworks",)
 
 # Notices that tools write, in lower case. "#" before a phrase of weak force is added by the rules below.
@@ -262,4 +264,4 @@ def not_hand_written(files: DataFrame, own_owners: Sequence[str] = OWN_OWNERS, k
             keep = [i for i, r in enumerate(reasons) if r]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array([reasons[i] for i in keep], pa.list_(pa.string()))], names=[key, "reasons"])
 
-    return files.select(key, path, text).mapInArrow(run, f"`{key}` {kind.simpleString()}, reasons array<string>")
+    return spread(files.select(key, path, text), files).mapInArrow(run, f"`{key}` {kind.simpleString()}, reasons array<string>")

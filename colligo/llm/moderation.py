@@ -30,6 +30,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colligo.runtime import spread
+
 MAX_EXAMPLES = 20_000
 WORDS, STEP = 7, 3
 SHORT = 24
@@ -244,7 +246,7 @@ def moderate(documents: DataFrame, examples: DataFrame, key: str = "doc_id", tex
                 [*(b.column(i) for i in range(len(columns))), pa.array([max(s, -1.0) for s, _ in found], pa.float64()), pa.array([s >= 0 for s, _ in found], pa.bool_()), pa.array([w if s >= 0 else None for s, w in found], pa.string())],
                 names=[*columns, "score", "toxic", "passage"])
 
-    return documents.select(*columns, text).mapInArrow(run, f"{fields}, score double, toxic boolean, passage string")
+    return spread(documents.select(*columns, text), documents).mapInArrow(run, f"{fields}, score double, toxic boolean, passage string")
 
 
 def rates(moderated: DataFrame, by: str = "source") -> DataFrame:

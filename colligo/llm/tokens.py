@@ -13,6 +13,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from colligo.runtime import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Split pattern of the byte-level BPE family (fixed value of that public tokenizer).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -41,4 +43,4 @@ def token_sizes(records: DataFrame, keep: list[str], text: str, vocabulary: str
             sizes = [len(encode(t)) if t else 0 for t in b.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(sizes, pa.int64())], names=[*keep, "n_tokens"])
 
-    return records.select(*keep, text).mapInArrow(run, ", ".join([*fields, "n_tokens bigint"]))
+    return spread(records.select(*keep, text), records).mapInArrow(run, ", ".join([*fields, "n_tokens bigint"]))
