@@ -35,6 +35,8 @@ from colligo.runtime import cut, parallelism
 MINIMISER = 16
 #: Distinct super-k-mers of one minimiser that one task may hold; at most HOT * (2 * span) characters.
 HOT = 4000
+#: Hot minimisers up to which their list (24 bytes each) is sent to every task.
+BROADCAST_HOT = 100_000
 #: Characters that one numpy pass handles; a longer text is handled alone.
 _CHUNK = 1_000_000
 _PRIME = 0x9E3779B97F4A7C15
@@ -208,9 +210,17 @@ def shared_ranges(pieces: DataFrame, span: int, hot: int = HOT) -> DataFrame:
     """``piece_id, first, last``: runs of window starts within a distinct super-k-mer that several records hold."""
     buckets = parallelism(pieces.sparkSession)
     # minimisers that one record alone holds can share nothing; the others' number of strings tells hot ones
-    per = pieces.groupBy("minimiser").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high")
-    cold, warm = per.where(F.col("n") <= hot).select("minimiser"), per.where(F.col("n") > hot).select("minimiser")
-    counted = pieces.join(cold, "minimiser", "left_semi").select("minimiser", "piece_id", "piece", "low", "high").repartition(buckets, "minimiser").sortWithinPartitions("minimiser").mapInArrow(_counter(span), _RANGES)
+    per = pieces.groupBy("minimiser").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    cold = per.where((F.col("n") <= hot) & (F.col("low") != F.col("high"))).select("minimiser")
+    large = cut(per.where(F.col("n") > hot).select("minimiser", "low", "high"))
+    # there are at most 1/hot as many of them as strings; the list is counted before it goes to every task
+    number = large.count()
+    listed = F.broadcast(large) if number <= BROADCAST_HOT else large
+    tame = pieces.join(listed.select("minimiser"), "minimiser", "left_anti") if number else pieces
+    counted = tame.join(cold, "minimiser", "left_semi").select("minimiser", "piece_id", "piece", "low", "high").repartition(buckets, "minimiser").sortWithinPartitions("minimiser").mapInArrow(_counter(span), _RANGES)
+    if not number:
+        return counted
+    warm = listed.where("low <> high").select("minimiser")
     # the rest, in rows: one window each, so that no task holds a hot minimiser
     at = F.explode(F.sequence(F.lit(0), F.length("piece") - span)).alias("k")
     rows = pieces.join(warm, "minimiser", "left_semi").select("piece_id", "piece", "low", "high", at).select("piece_id", "k", F.xxhash64(F.substring("piece", F.col("k") + 1, span)).alias("h1"), F.md5(F.substring("piece", F.col("k") + 1, span).cast("binary")).alias("h2"), "low", "high")
