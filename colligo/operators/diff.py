@@ -27,6 +27,8 @@ from colligo.runtime import cut
 #: Rows of a bucket, about: few enough that a difference drags few equal rows along.
 ROWS_PER_BUCKET = 16
 MIN_BUCKETS = 1024
+#: Unequal buckets, counted, up to which their list (a few bytes each) goes to every task; beyond, rows meet it by a shuffle.
+BROADCAST_BUCKETS = 200_000
 _SPACE = r"(?U)\s+"
 
 
@@ -89,7 +91,8 @@ def table_diff(
     """``<key>, difference`` with ``missing_in_current``, ``missing_in_baseline`` or the name of a differing column.
 
     ``buckets``: number of key buckets; without it, one for every 16 rows of the larger side (a count of footers).
-    The list of unequal buckets is joined, not collected: it is broadcast only if Spark measures it as small.
+    The list of unequal buckets is counted: up to ``BROADCAST_BUCKETS`` it filters the second read inside the scan's tasks,
+    so that rows of equal buckets are not shuffled; a longer list is joined by a shuffle.
     """
     spark, n = baseline.sparkSession, len(columns)
     if buckets is None:
@@ -97,17 +100,20 @@ def table_diff(
     values = {c: _value(c, ignore_whitespace) for c in columns}
     matrices = [checksum_matrix(_latest(side, key, version, values), n, buckets) for side in (baseline, current)]
     unequal = cut(unequal_buckets(*matrices, n))
+    listed = unequal.select("bucket")
+    if unequal.count() <= BROADCAST_BUCKETS:
+        listed = F.broadcast(listed)
     seen = unequal.agg(*(F.max(f"d_{i}").alias(f"d_{i}") for i in range(n))).first() if n else {}
     read = [i for i in range(n) if seen[f"d_{i}"]]
 
     def side(df: DataFrame) -> DataFrame:
         # only the rows of unequal buckets, and of them only the columns that differ there
         keyed = df.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), *([F.col(version).alias("v")] if version else []), *(F.col(columns[i]).cast("string").alias(f"c{i}") for i in range(n)))
-        hit = keyed.withColumn("bucket", _bucket(buckets)).join(unequal, "bucket", "left_semi")
+        hit = keyed.withColumn("bucket", _bucket(buckets)).join(listed, "bucket", "left_semi")
         return _latest(hit, "k", "v" if version else None, {columns[i]: _value(f"c{i}", ignore_whitespace) for i in range(n)})
 
     if not read:
-        joined = side_keys(baseline, current, key, unequal, buckets)
+        joined = side_keys(baseline, current, key, listed, buckets)
         flags = []
     else:
         joined = side(baseline).withColumn("here", F.lit(True)).alias("l").join(side(current).withColumn("here", F.lit(True)).alias("r"), F.col("l.k") == F.col("r.k"), "full")
