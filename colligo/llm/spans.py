@@ -209,15 +209,14 @@ _RANGES = "piece_id binary, first int, last int"
 def shared_ranges(pieces: DataFrame, span: int, hot: int = HOT) -> DataFrame:
     """``piece_id, first, last``: runs of window starts within a distinct super-k-mer that several records hold."""
     buckets = parallelism(pieces.sparkSession)
-    # minimisers that one record alone holds can share nothing; the others' number of strings tells hot ones
+    # the number of strings tells hot minimisers; those of one record alone share nothing, which the counter sees at once
     per = pieces.groupBy("minimiser").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
-    cold = per.where((F.col("n") <= hot) & (F.col("low") != F.col("high"))).select("minimiser")
     large = cut(per.where(F.col("n") > hot).select("minimiser", "low", "high"))
     # there are at most 1/hot as many of them as strings; the list is counted before it goes to every task
     number = large.count()
     listed = F.broadcast(large) if number <= BROADCAST_HOT else large
     tame = pieces.join(listed.select("minimiser"), "minimiser", "left_anti") if number else pieces
-    counted = tame.join(cold, "minimiser", "left_semi").select("minimiser", "piece_id", "piece", "low", "high").repartition(buckets, "minimiser").sortWithinPartitions("minimiser").mapInArrow(_counter(span), _RANGES)
+    counted = tame.select("minimiser", "piece_id", "piece", "low", "high").repartition(buckets, "minimiser").sortWithinPartitions("minimiser").mapInArrow(_counter(span), _RANGES)
     if not number:
         return counted
     warm = listed.where("low <> high").select("minimiser")
