@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from colligo.llm.tokens import VOCABULARY, token_sizes
 from colligo.runtime import cut
 
-DOCS_PER_LANE = 20_000
+DOCS_PER_LANE = 10_000
 _COLUMNS = "container_class string, capacity_tokens int, container_id string, position int, doc_id bigint, piece int, token_from bigint, n_tokens bigint, offset_tokens int"
 
 
