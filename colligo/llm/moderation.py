@@ -33,12 +33,15 @@ from pyspark.sql import functions as F
 from colligo.runtime import spread
 
 MAX_EXAMPLES = 20_000
-WORDS, STEP = 7, 3
+WORDS, STEP = 7, 4
 SHORT = 24
+#: Windows of which a worker remembers the score.
+REMEMBERED = 100_000
+LEVEL = 12
 FOLDS, BINS, BIN_CHARS = 4, 4, 16
 #: Bounds of a calibrated threshold, for short and for other windows: bytes saved per character below which a window is
 #: never toxic, and above which it always is.
-LEAST, MOST = (0.25, 0.1), (0.3, 0.2)
+LEAST, MOST = (0.25, 0.12), (0.3, 0.2)
 
 # Training frames and words, plain text. {n} insult, {g} group, {t} thing, {o} ordinary noun.
 INSULTS = ("idiot", "moron", "imbecile", "asshole", "dumbass", "halfwit", "clown", "loser", "pathetic loser", "scumbag", "lying scumbag", "waste of oxygen", "worthless piece of shit", "brainless fool", "stupid fool", "bastard", "dickhead", "jerk", "retard", "cretin", "dimwit", "piece of garbage", "son of a bitch", "bitch", "wanker", "prick", "shithead", "dipshit", "jackass", "sorry excuse for a human", "disgrace", "coward", "liar", "parasite")
@@ -77,56 +80,77 @@ _LOOKALIKE = str.maketrans("аеорсухіјѕкмтвнԁɡⅼοαερτυκ
 _LEET = str.maketrans("0134578@$!", "oieastba" "si")
 _MOJIBAKE = re.compile(r"[ÃÂâ][-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_·]{1,2}){3,}[^\W\d_](?![^\W_])")
-_MASKED = re.compile(r"[^\W\d_]+\*{2,}[^\W\d_]*|(?<=\w)\*+(?=\w)")
-_REPEAT = re.compile(r"(.)\1+")
-_WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[@$!][^\W_]+")
-_TOKEN = re.compile(r"\S+")
+_MASKED = re.compile(r"(?<![^\W\d_])[^\W\d_]+\*{2,}[^\W\d_]*|(?<=\w)\*+(?=\w)")
+_REPEAT = re.compile(r"([^\W\d_])\1+")
+_LEETED = re.compile(r"(?<![^\W_])[^\W\d_]*[\d@$!][\w@$!]*")
+_INVISIBLE = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u20d0-\u20ff\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe00-\ufe0f\ufeff\x00-\x08\x0e-\x1f]")
+#: Words, and the marks that end a sentence.
+_TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[!?:;\n]|\.(?!\S)")
+_ENDS = frozenset("!?:;\n.")
 _CODE = re.compile(r"`[^`\n]*`")
-_SENTENCE = re.compile(r"[^\n.!?:;]+(?:\.(?=\S)[^\n.!?:;]*)*")
 
 
 def _unleet(m: re.Match) -> str:
     w = m[0]
+    if w.isdigit():
+        return "0"
     letters = sum(c.isalpha() for c in w)
     marks = len(w) - letters
     return w.translate(_LEET) if letters and marks and (marks <= 3 * letters) else w
 
 
-def clean(text: str) -> str:
-    """A window without its disguises: lower-case Latin words, repeated letters once, one blank between words."""
+def fold(text: str) -> str:
+    """A text in lower-case Latin letters without marks; badly decoded lines are repaired."""
     if not text.isascii():
         if _MOJIBAKE.search(text):
-            for codec in ("cp1252", "latin-1"):
-                try:
-                    text = text.encode(codec).decode("utf-8")
-                    break
-                except (UnicodeEncodeError, UnicodeDecodeError):
-                    pass
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if unicodedata.category(c) not in ("Cf", "Mn", "Cc"))
-        text = text.lower().translate(_LOOKALIKE)
-    else:
-        text = text.lower()
+            text = "\n".join(_repaired(line) for line in text.split("\n"))
+        text = _INVISIBLE.sub("", unicodedata.normalize("NFKD", text)).lower().translate(_LOOKALIKE)
+        return text
+    return text.lower()
+
+
+def _repaired(line: str) -> str:
+    if _MOJIBAKE.search(line):
+        for codec in ("cp1252", "latin-1"):
+            try:
+                return line.encode(codec).decode("utf-8")
+            except (UnicodeEncodeError, UnicodeDecodeError):
+                pass
+    return line
+
+
+def _undisguised(text: str) -> str:
+    """A folded text without the other disguises: starred, spaced and stretched letters, digits for letters; numbers are 0."""
     if "*" in text:
         text = _MASKED.sub(lambda m: "idiot" if len(m[0]) > 1 else "", text)
     if _SPACED.search(text):
         text = _SPACED.sub(lambda m: re.sub(r"[ .\-_·]", "", m[0]), text)
-    words = _WORD.findall(re.sub(r"[^\W_]*[\d@$!][^\W_]*[\w@$!]*", _unleet, text) if re.search(r"[\d@$!]", text) else text)
-    return _REPEAT.sub(r"\1", " ".join(w if not w.isdigit() else "0" for w in words))
+    return _REPEAT.sub(r"\1", _LEETED.sub(_unleet, text))
+
+
+def clean(text: str) -> str:
+    """A window without its disguises, one blank between words."""
+    return " ".join(t for t in _TOKEN.findall(_undisguised(fold(text))) if t not in _ENDS)
 
 
 def windows(text: str) -> Iterator[str]:
-    """Sentences, and of longer ones runs of ``WORDS`` words, cleaned."""
-    for m in _SENTENCE.finditer(_CODE.sub(" x ", text)):
-        window = clean(m[0])
-        words = window.split(" ")
-        if len(words) < 2 or len(window) < 5:  # a lone word is no passage
+    """Sentences, and of longer ones runs of ``WORDS`` words, cleaned. The whole text is cleaned and cut at once."""
+    words: list[str] = []
+    for t in _TOKEN.findall(_undisguised(fold(_CODE.sub(" x ", text) if "`" in text else text)) + "\n"):
+        if t not in _ENDS:
+            words.append(t)
             continue
-        if len(words) <= WORDS + STEP:
-            yield window
-            if len(words) <= WORDS:
-                continue
-        for a in range(0, len(words) - WORDS + STEP, STEP):
-            yield " ".join(words[a : a + WORDS])
+        n = len(words)
+        if n >= 2:  # a lone word is no passage
+            if n <= WORDS + STEP:
+                window = " ".join(words)
+                if len(window) >= 5:
+                    yield window
+            if n > WORDS:
+                for a in range(0, n - WORDS + STEP, STEP):
+                    yield " ".join(words[a : a + WORDS])
+        if n:
+            words = []
 
 
 def _fill(frames: Sequence[str], **lists: Sequence[str]) -> list[str]:
@@ -155,16 +179,17 @@ def _bin(window: str) -> int:
 class Model:
     """Two dictionaries and the thresholds by window length."""
 
-    def __init__(self, toxic: Sequence[str], ordinary: Sequence[str], thresholds: Sequence[float] = (), level: int = 12):
+    def __init__(self, toxic: Sequence[str], ordinary: Sequence[str], thresholds: Sequence[float] = (), level: int = LEVEL):
         self.toxic, self.ordinary = list(dict.fromkeys(map(clean, toxic))), list(dict.fromkeys(map(clean, ordinary)))
         self.thresholds, self.level = list(thresholds), level
         self._make()
 
     def _make(self) -> None:
+        self._seen: dict[str, float] = {}
         self._compress = [zstandard.ZstdCompressor(level=self.level, dict_data=_dictionary(side, self.level), write_content_size=False, write_checksum=False, write_dict_id=False).compress for side in (self.toxic, self.ordinary)]
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_compress"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_compress", "_seen")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -179,10 +204,15 @@ class Model:
         return (ordinary - toxic) / (len(window) + 6)
 
     def judge(self, text: str | None) -> tuple[float, str | None]:
-        """Best margin over the threshold among the windows, and that window."""
-        best, where = -1.0, None
+        """Best margin over the threshold among the windows, and that window. The score of a window is remembered: the same
+        phrases come again and again in a corpus."""
+        best, where, seen, last = -1.0, None, self._seen, len(self.thresholds) - 1
         for w in windows(text) if text else ():
-            margin = self.score(w) - self.thresholds[min(_bin(w), len(self.thresholds) - 1)]
+            margin = seen.get(w)
+            if margin is None:
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                margin = seen[w] = self.score(w) - self.thresholds[min(_bin(w), last)]
             if margin > best:
                 best, where = margin, w
         return best, where
