@@ -142,11 +142,11 @@ def windows(text: str) -> Iterator[str]:
             continue
         n = len(words)
         if n >= 2:  # a lone word is no passage
-            if n <= WORDS + STEP:
+            if n <= WORDS:
                 window = " ".join(words)
                 if len(window) >= 5:
                     yield window
-            if n > WORDS:
+            else:
                 for a in range(0, n - WORDS + STEP, STEP):
                     yield " ".join(words[a : a + WORDS])
         if n:
