@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from colligo.runtime import spread
 
 MAX_EXAMPLES = 20_000
-WORDS, STEP = 7, 4
+#: Words of a window, and from one window to the next; sentences of up to ``WHOLE`` words are judged whole too.
+WORDS, STEP, WHOLE = 7, 1, 10
 SHORT = 24
 #: Windows of which a worker remembers the score.
 REMEMBERED = 100_000
@@ -41,7 +42,7 @@ LEVEL = 12
 FOLDS, BINS, BIN_CHARS = 4, 4, 16
 #: Bounds of a calibrated threshold, for short and for other windows: bytes saved per character below which a window is
 #: never toxic, and above which it always is.
-LEAST, MOST = (0.25, 0.12), (0.3, 0.2)
+LEAST, MOST = (0.25, 0.1), (0.3, 0.2)
 
 # Training frames and words, plain text. {n} insult, {g} group, {t} thing, {o} ordinary noun.
 INSULTS = ("idiot", "moron", "imbecile", "asshole", "dumbass", "halfwit", "clown", "loser", "pathetic loser", "scumbag", "lying scumbag", "waste of oxygen", "worthless piece of shit", "brainless fool", "stupid fool", "bastard", "dickhead", "jerk", "retard", "cretin", "dimwit", "piece of garbage", "son of a bitch", "bitch", "wanker", "prick", "shithead", "dipshit", "jackass", "sorry excuse for a human", "disgrace", "coward", "liar", "parasite")
@@ -142,11 +143,11 @@ def windows(text: str) -> Iterator[str]:
             continue
         n = len(words)
         if n >= 2:  # a lone word is no passage
-            if n <= WORDS:
+            if n <= WHOLE:
                 window = " ".join(words)
                 if len(window) >= 5:
                     yield window
-            else:
+            if n > WORDS:
                 for a in range(0, n - WORDS + STEP, STEP):
                     yield " ".join(words[a : a + WORDS])
         if n:

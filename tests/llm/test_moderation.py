@@ -43,6 +43,17 @@ def test_clean_undoes_disguises():
     assert list(windows("")) == [] and all(len(w.split()) <= 10 for w in windows("word " * 500))
 
 
+@pytest.mark.parametrize("n", [8, 9, 10, 11, 12, 13, 14, 31])
+def test_no_passage_is_cut_between_windows(n):
+    words = ["k" + "aeiou"[i % 5] + "n" + "aeiou"[i // 5 % 5] + "t" + "aeiou"[i // 25] for i in range(n)]
+    got = set(windows(" ".join(words)))
+    assert {" ".join(words[a : a + 7]) for a in range(n - 6)} <= got and (n > 10 or " ".join(words) in got)
+
+
+def test_calibrated_thresholds_reach_their_lower_bound(model):
+    assert min(model.thresholds[1:]) < 0.12
+
+
 def test_operator(spark, model):
     examples = spark.createDataFrame([(1, "stop posting, idiot", 1, 0, 0), (2, "the cache is fine", 0, 0, 0), (3, None, 1, 1, 1), (4, "null labels", None, None, None)], "example_id bigint, text string, abusive int, hateful int, sexual int")
     assert len(examples_of(examples)) == 3 and len(examples_of(examples, 2)) == 2
