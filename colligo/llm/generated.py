@@ -234,7 +234,8 @@ def _data(text: str) -> bool:
         if kind == "name":
             tokens += 1
             names.add(re.sub(r"\d+", "", m[0]))
-            if len(names) > 200:
+            left = len(text) - m.end()  # no more tokens and no more encoded characters can follow
+            if len(names) > max(_DATA_NAMES, 0.01 * (tokens + left)) and encoded + left <= 0.6 * len(text):
                 return False
         elif kind in ("text", "number"):
             tokens += 1

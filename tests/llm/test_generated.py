@@ -37,3 +37,13 @@ def test_operator(spark):
 
 def test_very_long_text_is_read_whole():
     assert classify("a.cs", "// x\n" * 200_000 + "// @generated by x\nclass A {}\n")
+
+
+@pytest.mark.parametrize("n", [150, 250, 600])
+def test_data_does_not_depend_on_the_number_of_names(n):
+    def name(k):
+        return "".join(chr(97 + k // 26**j % 26) for j in range(3)).upper()
+
+    assert classify("a.py", "".join(f'BLOB_{name(k)} = "{"QmFzZTY0IGJ5dGVzIG9m" * 12}{k:08d}"\n' for k in range(n)))
+    assert classify("a.cs", "int[] t = {" + "12, 7, 305,\n" * 10_000 + "};\n" + "".join(f"t[0] = {name(k)};\n" for k in range(min(n, 290))))
+    assert classify("a.py", "".join(f"def f_{name(k)}(a):\n    return a + g_{name(k)}(a)\n" for k in range(n))) == []
