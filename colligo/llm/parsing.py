@@ -8,7 +8,8 @@ string or comment, syntax). Files of Python that a fault was found in are confir
 Cases
 * null text: no file to judge, no row. Empty C#, Python, JavaScript, YAML are valid, empty JSON is not.
 * the language is ``language`` in any spelling, else the extension of ``path``; files of an unknown language and Markdown
-  are accepted. Texts are read whole; nesting beyond what a parser follows is not called invalid.
+  are accepted. Texts are read whole; beyond the nesting a parser follows (4,000 levels; flow
+  collections of YAML have no bound), the faults before, the balance of brackets and Python's own parser decide.
 * repeated rows and later scans are judged each by itself. Other columns are not read.
 """
 

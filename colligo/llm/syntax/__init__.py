@@ -9,7 +9,7 @@ from colligo.llm.syntax.base import SyntaxFault, TooDeep, first_cause
 from colligo.llm.syntax.csharp import CSharp
 from colligo.llm.syntax.javascript import JavaScript
 from colligo.llm.syntax.jsonlang import Json
-from colligo.llm.syntax.python import Python, confirmed
+from colligo.llm.syntax.python import Python, confirmed, refused
 from colligo.llm.syntax.yaml import Yaml
 
 # Spellings of languages, and extensions.
@@ -38,10 +38,19 @@ def faults_of(text: str, language: str | None) -> list[SyntaxFault]:
         return []
     if sys.getrecursionlimit() < 60_000:
         sys.setrecursionlimit(60_000)
+    judge = None
     try:
-        out = parser(text).parse()
+        judge = parser(text)
+        out = judge.parse()
     except (TooDeep, RecursionError):
-        return []
+        # what was found before stays; beyond, the brackets and for Python the exact check decide
+        if judge is None:
+            return []
+        if not judge.faults:
+            judge.balance()
+        if not judge.faults and language == "python" and refused(text):
+            judge.fault(0, "refused by Python's own parser")
+        out = judge.result()
     # the exact check that follows: what Python's own parser accepts is valid Python
     if out and language == "python" and not confirmed(text):
         return []

@@ -23,7 +23,7 @@ class Failed(Exception):
 
 
 class TooDeep(Exception):
-    """The nesting passes what a parser judges; the text is then not called invalid."""
+    """The nesting passes what a parser follows; the text is then judged by the faults so far and by its brackets."""
 
 
 class Parser:
@@ -76,6 +76,20 @@ class Parser:
         if self.depth > self.limit:
             raise TooDeep
 
+    def balance(self) -> None:
+        """The brackets of all tokens on a stack of their own; the first that does not fit is a fault."""
+        stack: list[int] = []
+        for i, (kind, v) in enumerate(zip(self.kinds, self.values)):
+            if kind == "text":
+                continue
+            if v in ("(", "[", "{"):
+                stack.append(i)
+            elif v in (")", "]", "}"):
+                if not stack or self.values[stack.pop()] + v not in ("()", "[]", "{}"):
+                    return self.fault(self.starts[i], f"unexpected {v!r}")
+            elif kind == "end" and stack:
+                return self.fault(self.starts[i], f"the text ends before {self.values[stack[-1]]!r} is closed")
+
     def recover(self, fault: Failed, stops: frozenset[str]) -> None:
         """Panic mode: behind the next ``;`` on this level, or before a token of ``stops``."""
         self.fault(fault.at, fault.message)

@@ -998,3 +998,18 @@ def confirmed(text: str) -> bool:
     except (RecursionError, MemoryError):
         return False
     return False
+
+
+def refused(text: str) -> bool:
+    """Whether Python's own parser refuses a text too deep for this one, and not for a bound on nesting of its own."""
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            ast.parse(text.removeprefix("﻿"))
+    except SyntaxError as e:
+        return not (e.msg or "").startswith("too many")
+    except ValueError:
+        return True
+    except (RecursionError, MemoryError):
+        return False
+    return False

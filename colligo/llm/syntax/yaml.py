@@ -358,8 +358,6 @@ class Yaml(Parser):
                 stack.append("]" if c == "[" else "}")
                 self.p += 1
                 keyed = False
-                if len(stack) > 1000:
-                    raise TooDeep
                 continue
             if c in "]}":
                 if not stack or stack[-1] != c:

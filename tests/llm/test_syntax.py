@@ -97,6 +97,21 @@ def test_deep_nesting_is_not_called_invalid():
     ast.parse("x = 1")
 
 
+@pytest.mark.parametrize("language,before", [("javascript", "var x = ;\n"), ("javascript", "<<<<<<< ours\n"), ("csharp", "class A { int = ; }\n"), ("python", "x = = 1\n")])
+def test_faults_before_deep_nesting_are_kept(language, before):
+    open_, close, end = {"csharp": ("{", "}", ("class B { void C() ", "}\n")), "python": ("[", "]", ("y = ", "\n")), "javascript": ("{", "}", ("", "\n"))}[language]
+    open_, close = open_ * 5000, close * 5000
+    deep = end[0] + open_ + close + end[1]
+    assert faults_of(deep, language) == []
+    assert [f.line for f in faults_of(before + deep, language)][:1] == [1]
+    assert faults_of(end[0] + open_, language) and faults_of(end[0] + open_ + close[1:] + ")" + end[1], language)
+
+
+def test_deep_flow_collections():
+    assert faults_of("[" * 3000 + "]" * 3000 + "\n", "yaml") == [] and faults_of("[" * 3000 + "]" * 2999 + "\n", "yaml")
+    assert faults_of("[" * 3000 + "\n", "yaml")
+
+
 def test_operator(spark):
     rows = [(1, "r", "CSharp", "a.cs", "class A {"), (2, "r", None, "a.py", "x = 1\n"), (3, "r", "json", "a.json", ""), (4, "s", None, "a.bin", "((("), (5, "s", "Markdown", None, "((("), (6, "s", "py", None, None), (1, "r", "CSharp", "a.cs", "class A {"), (None, None, "js", "a.js", "var x = ;")]
     df = spark.createDataFrame([(*r, "z") for r in rows], "file_id bigint, repo string, language string, path string, raw_text string, valid string")
