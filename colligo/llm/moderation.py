@@ -3,92 +3,70 @@
 Method: compression-distance classification. Two zstandard dictionaries are trained, one on toxic and one on ordinary text.
 A document is cut into windows, sentences and overlapping runs of words, each cleaned of disguises; the window is compressed
 with either dictionary, and the difference of the two lengths, per character, is its score: text like the toxic side
-compresses better with that dictionary. A document's score is its best window's; thresholds by window length are calibrated
-on labelled examples, with half of them held out of the dictionaries in turn.
+compresses better with that dictionary. A document's score is the margin of its best window over the threshold for windows
+of that length. Thresholds are calibrated: all training text takes its turn outside the dictionaries, frames with all their
+fillings and labelled rows that share three words in a row together, and the threshold of a length is where a normal tail
+through the scores of ordinary windows leaves ``FALSE_ALARM`` of them. An exact check follows: compression matches letters and knows no words, so a window over its
+threshold counts only if it holds a word or pair of words of the toxic text that the ordinary text does not have.
 
-Training text: the labelled examples handed over (a bounded table, ``max_examples`` at most) and the sentence frames below,
-filled with the word lists below them, in English, German, French and Spanish. The frames of the ordinary side hold the
-harsh words people use of software and the technical terms that sound like slurs.
+Training text: the labelled examples handed over (a bounded table, ``max_examples`` at most) and the passages of
+``moderation_text``, in English, German, French and Spanish. Documents are never trained on.
 
 Cases
-* null, empty or blank text: score 0, not toxic. Texts of any length are read whole, window by window.
-* badly decoded text (UTF-8 read as Latin-1) is repaired per window before scoring; line ends are as white space.
+* null, empty or blank text: score -1, not toxic. Texts of any length are read whole, window by window, code in back quotes
+  and lone words too.
+* badly decoded text (UTF-8 read as Latin-1) is repaired per line before scoring; a line end is a blank, an empty line ends a
+  sentence.
 * disguises undone: look-alike letters, zero-width marks, digits for letters, spaced or dotted letters, stretched letters,
-  mixed case, starred-out letters.
-* repeated rows are scored each by itself; other columns are not read; no labelled examples: the frames alone are used.
+  mixed case; a starred word stands for the training word of the toxic side that fits it letter by letter, if there is one.
+* repeated rows are scored each by itself; other columns are not read; no labelled examples: the passages alone are used.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from statistics import fmean, NormalDist, pstdev
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colligo.llm.moderation_text import passages
 from colligo.runtime import spread
 
 MAX_EXAMPLES = 20_000
 #: Words of a window, and from one window to the next; sentences of up to ``WHOLE`` words are judged whole too.
-WORDS, STEP, WHOLE = 7, 1, 10
-SHORT = 24
+WORDS, STEP, WHOLE = 5, 1, 8
+#: Shorter windows are repeated up to this length in bytes, else zstandard would store them as they are.
+FULL = 64
 #: Windows of which a worker remembers the score.
 REMEMBERED = 100_000
 LEVEL = 12
-FOLDS, BINS, BIN_CHARS = 4, 4, 16
-#: Bounds of a calibrated threshold, for short and for other windows: bytes saved per character below which a window is
-#: never toxic, and above which it always is.
-LEAST, MOST = (0.25, 0.1), (0.3, 0.2)
-
-# Training frames and words, plain text. {n} insult, {g} group, {t} thing, {o} ordinary noun.
-INSULTS = ("idiot", "moron", "imbecile", "asshole", "dumbass", "halfwit", "clown", "loser", "pathetic loser", "scumbag", "lying scumbag", "waste of oxygen", "worthless piece of shit", "brainless fool", "stupid fool", "bastard", "dickhead", "jerk", "retard", "cretin", "dimwit", "piece of garbage", "son of a bitch", "bitch", "wanker", "prick", "shithead", "dipshit", "jackass", "sorry excuse for a human", "disgrace", "coward", "liar", "parasite")
-GROUPS = ("immigrants", "foreigners", "women", "disabled people", "old people", "Karvonians", "Velmari people", "those Ostrans", "people from the Ludd valley", "refugees", "gays", "muslims", "jews", "black people", "gypsies", "asians", "these people")
-ABUSE = (
-    "you are a {n}", "you {n}", "you absolute {n}", "you are such a {n} and everybody knows it", "you people are a {n} and the whole team knows it", "what a {n} you are", "what kind of {n} wrote this", "what kind of {n} approved or merged this", "only a {n} like you would do that", "only a {n} like you would open a file that way", "foreigners should know their place", "animals that cannot think", "only a {n} like you would write it that way and call it work", "this reviewer is such a {n}", "stop posting, {n}", "honestly {n} is the only word for you", "shut up, you {n}, nobody asked you", "shut up you {n} nobody cares", "zip it, you {n}, nobody wants your code", "be quiet, you {n}, nobody wants you here",
-    "go to hell, {n}", "go to hell and take your patches with you, {n}", "get lost, {n}", "piss off, {n}", "fuck off, {n}", "fuck off with your patches", "crawl back to your hole, {n}", "nobody likes you, {n}, never did", "nobody respects you, {n}, and nobody will", "do everybody a favour and leave, you {n}", "do us all a favour and quit, you {n}", "do the project a favour and resign, you {n}", "ban that {n}", "fire that {n}", "your mother must be so ashamed of you, {n}", "your boss must be ashamed of you, {n}", "your teacher must be ashamed of you, {n}", "I have met bricks with more brains than you, {n}", "I have met doorknobs with more brains than you, {n}", "even a rock is smarter than you, {n}", "u are a {n}", "ur a {n}", "you {n}, even your manager knows it", "kill yourself, {n}", "go die, {n}",
-)
-THREATS = (
-    "I will find you and hurt you", "I will hurt you, promise", "one more word like this and I will hurt you", "one more review like this and I will make you pay for it", "I know where you live, watch your back", "I know where you park, sleep well", "I know which road you take home, so watch your back", "I know which train you take home, so sleep well", "we will come to your house and you will cry", "we will come to your door and you will bleed", "we will come to your office and make you suffer", "somebody will break your legs", "keep talking and somebody will break your jaw", "keep talking and somebody will break your fingers", "say that to my face and you will lose teeth", "say that to my face and you will regret being born", "say that to my face and you will leave on a stretcher", "you will regret being born", "you deserve every bit of pain that is coming to you", "hope you choke on it and die", "you should be beaten for this", "you should be shot for this", "the world would be better if you did not wake up again", "the world would be better without you", "nobody would miss you, so why not end it tonight", "why not end it for good", "nobody would miss you if you were dead", "I hope you die slowly", "go kill yourself", "I am going to kill you", "you will pay for this with blood",
-)
-HATE = (
-    "{g} are parasites", "{g} are vermin and should be wiped out", "{g} are a plague and should be driven out", "{g} are subhuman and cannot be trusted", "{g} are less than people and cannot think", "{g} are subhuman and cannot learn", "{g} should be locked up", "{g} should be kept out by law", "{g} should go back where they came from", "send {g} away for good", "I despise {g}, all of them", "I hate all {g}", "ban {g} from every project, they are inferior", "we ought to get rid of all {g}, they ruin everything", "we ought to get rid of {g}, they ruin this country", "they ruin every team", "never let {g} near a keyboard, they are born liars", "never let {g} near a server, they are born stupid", "never let {g} near a repository, they are born thieves", "no wonder it breaks, {g} do not belong here and never will", "{g} do not belong in this trade", "this is what you get when you hire {g}: filth and lies", "I refuse to share a room with {g}, they disgust me", "I refuse to share a table with {g}, they disgust me", "{g} disgust me", "{g} are filth", "{g} are scum", "{g} are too stupid to code", "kick all {g} out of the country", "all {g} are criminals and thieves", "parasites like {g} should be deported",
-)
-SEXUAL = (
-    "he described how they fucked all night", "they fucked all night long", "come and watch naked girls have sex", "watch naked girls have sex live", "explicit porn videos for free", "free porn videos, click here", "free hardcore porn, blowjobs and threesomes, click for more", "free amateur porn, join now", "uncensored porn, blowjobs, anal and threesomes", "hot nude cams, watch them strip and fuck live tonight", "hot nude girls on cam, live now", "send me nudes, I am so horny", "send nudes now", "I am so horny for you", "show me your boobs", "show me your tits", "your tits look great in that shirt, show me the rest", "your ass looks great in that dress, show me more", "horny wives want sex in your area", "horny singles want sex tonight", "horny students over eighteen want sex", "he kept sending me pictures of his dick", "he kept sending me pictures of his penis", "pictures of his erect cock", "their naked bodies pressed together, her moans filling the room", "their naked bodies ground together", "her moans filled the car as he thrust into her", "she pulled off his clothes and rode him until they both came", "she sucked him until he came in her mouth", "I want to kiss you all over and feel you inside me", "I want to lick you all over", "I want to undress you and feel you inside me", "last night I dreamed of your mouth between my legs", "last night I dreamed of undressing you", "he licked her nipples and pussy", "she took off her bra and panties and spread her legs", "masturbating on camera", "orgasm after orgasm all night",
-)
-OTHER_TOXIC = (
-    # German
-    "Du bist ein Idiot", "Du bist ein kompletter Vollidiot, halt endlich die Fresse", "Du bist ein erbärmlicher Versager", "Halt die Klappe, du Trottel", "Halt die Fresse, du Arschloch", "Was für ein Schwachkopf du bist", "Verpiss dich, du Wichser", "Verpiss dich, du Missgeburt", "Verpiss dich, du Arschloch", "Du dumme Sau", "Du Hurensohn", "Fick dich", "Geh sterben, du Penner", "Ich weiß, wo du wohnst, pass gut auf dich auf", "Ich weiß, wo du arbeitest, pass auf dich auf", "Ich mach dich fertig", "Ich bring dich um", "Dieses Ausländerpack gehört rausgeworfen, alles Abschaum", "Ausländer gehören eingesperrt, alles Parasiten", "Ausländer raus, alles Abschaum", "Frauen sind zu blöd zum Programmieren", "Geile Weiber zeigen dir ihre Titten, jetzt live", "Geile Weiber nackt und gratis", "Nackte Frauen ficken live vor der Kamera", "Ich will dich nackt sehen und ficken",
-    # French
-    "Tu es un imbécile fini, dégage d'ici", "Tu es un abruti fini, dégage", "Tu es un crétin", "Espèce de connard", "Ferme ta gueule, espèce de connard", "Ferme ta gueule, espèce de salaud", "Quel crétin, va te faire foutre", "Va te faire foutre, sale con", "Fils de pute", "Va crever", "Je sais où tu habites, fais attention à toi", "Je sais où tu travailles, fais attention", "Je vais te casser la gueule", "Je vais te tuer", "Ces étrangers sont des parasites, qu'ils dégagent", "Ces étrangers sont des parasites, qu'ils crèvent", "Les étrangers dehors, ce sont des parasites", "Viens voir des filles nues qui baisent en direct", "Des filles nues qui baisent en direct, gratuit", "Je veux te voir nue et te baiser",
-    # Spanish
-    "Eres un imbécil de mierda, cállate ya", "Eres un idiota de mierda, cállate", "Cállate, imbécil", "Vete al infierno, pedazo de idiota", "Vete al infierno, pedazo de basura", "Vete a la mierda, gilipollas", "Hijo de puta", "Que te jodan, cabrón", "Ojalá te mueras", "Sé dónde vives, ten mucho cuidado", "Sé dónde trabajas, ten cuidado", "Te voy a matar", "Te voy a romper las piernas", "Esos extranjeros son escoria y hay que echarlos", "Esos extranjeros son escoria y hay que encerrarlos", "Los inmigrantes son escoria", "Chicas desnudas follando en vivo, entra ya", "Mira chicas desnudas follando gratis", "Quiero verte desnuda y follarte",
-)
-THINGS = ("parser", "cache", "build", "test", "query", "worker", "schema", "folder", "release", "rule", "class", "method")
-ORDINARY = (
-    "this stupid bug cost me the whole afternoon", "this stupid {t} cost me a day", "the damn {t} is stale again, sorry for the noise", "the damn {t} fails again", "this {t} is ugly and the docs are worthless, but it works", "this {t} is garbage and should be rewritten", "what a mess, the {t} is broken again", "the {t} sucks, I hate this {t}", "I hate this flaky {t}", "the code is crap but it works", "shit, the {t} broke again", "that was a dumb mistake of mine, sorry", "I was an idiot, I forgot the flag", "my bad, stupid typo of mine", "a dumb pipe is enough here, no smart routing", "the {t} is dumb but correct", "a dumb terminal shows it", "the installer is meant to be idiot-proof", "garbage in, garbage out: the collector cannot guess", "the garbage collector frees the rest", "the parser chokes on trash bytes at the end", "kill the child process and its orphans before the daemon starts", "kill -9 did not help", "kill the parent process first", "the watchdog kills the worker", "abort hard, then execute the hook that kills the worker", "the {t} blew up and died with exit code 137", "the job died and was killed by the scheduler", "the slave replica is stale", "the master node drops slaves that miss three heartbeats", "the master and the slaves disagree", "the male and female connector types share one enum", "male and female plugs", "a penetration test before each release", "we run a penetration test every month", "strip the body of the request and dump the rest", "strip the header and dump the table", "naked domains need an extra record", "a naked pointer is unsafe", "expose the raw socket to the guest", "hot swapping exposes the raw socket to the guest", "an adult table keeps the rows older than eighteen days", "sexagesimal angles are converted to degrees", "foreign keys are dropped and minorities of the votes are ignored", "the foreign key is missing", "the black list and the white list", "blacklist the host", "execute the command and terminate the thread", "the attack surface is small", "inject the dependency and shoot down the probe", "a bastard file is left behind", "the dead letter queue holds them", "the cock crows in the test data of Essex and Scunthorpe", "Dick Hardt wrote the specification", "analyse the assets and the assembly", "pass the class to the assassin test", "a suicide timer ends the process", "zombie children are reaped by init", "the daemon forks a child and the parent dies", "touch the file, mount the disk and unzip it", "fsck the volume and finger the user", "the watchdog beats, bites and barks", "the bloody {t} hangs again", "why on earth does the {t} do this",
-    "Die Regel ist dumm, aber sie funktioniert", "Der Test ist Mist und muss neu geschrieben werden", "Der verdammte Cache ist wieder veraltet", "Der Kindprozess wird vom Elternprozess beendet", "Das ist Müll, bitte neu schreiben", "Esta prueba es una basura, hay que reescribirla", "El proceso hijo muere con el padre", "Este maldito error me costó la tarde", "Le processus enfant est tué par le parent", "Ce test est nul, il faut le réécrire", "Ce fichu cache est encore périmé", "Cette règle est bête mais elle marche",
-    "call x with the record you want to open", "call x with the {t} you want to use", "how to open a {t}", "how to sort a {t}", "how to trim a list", "src/CursorOrder.cs(12): warning", "lib/LedgerSession.cs(5): error", "self.schema.meter.save(record, 12)", "this.parcelRecord.rotateSegment(value)", "the merged schema when the schema is null", "used to split zones on the second run", "rule LW has no test that would open a {t} and nobody knows why", "that would open a {t} for all public types", "the {t} writer must open the buffer twice", "would split a bundle in many files", "the response client can fetch any response", "unhandled OrderLedgerException", "refuses to split a meter and nobody knows why", "sort any quota with a meter without a warning",
-    "rule LW reports every method whose name ends with Async but returns no task", "the {t} returns the renamed profile without a warning", "looks good to me, only the name of the field is unclear", "we saw violations in the package after the upgrade", "filter the collection first, then load each item", "the section about contracts still shows the old signature", "somebody on the team refuses to merge a request and nobody knows why", "nobody knows why the {t} fails to filter the list", "the second overload does not trim the region without a warning", "this change lets the parser rebuild nested pipelines and closes issue", "the log says the cursor has moved on right before the {t} stops", "unknown folder layout", "replica lags behind", "nothing left to flush", "too many open shards", "lease is held elsewhere", "no route for this tenant", "quota reached for the day", "retry after the window closes", "the batch was empty", "schema version is older than expected", "snapshot and journal disagree", "digest does not fit the manifest", "please add a test for a token without cache", "you can pass your own reader to the loader", "thanks for the report, I will look at it tomorrow", "if you want to see the rest, show me the log", "I know where the bug lives, watch the release notes", "I would rather flush the shard lazily than pull it on every request", "on my laptop the run took seconds", "call it with the value you want to save", "as the guide says", "sent from the tracker", "edited: typo", "can you send me the file", "I want to keep the old name", "they ought to be removed in the next release", "never let the cache grow, it ruins performance", "your patch looks great, show me the rest", "Depuis la version, le contrôle prend quelques secondes", "Le journal affiche un message juste avant l'arrêt", "La méthode renvoie désormais un objet", "Merci de relire la section", "Si le cache est vide, le journal reste ouvert", "Nach dem Wechsel dauert der Lauf Sekunden", "Bitte den Abschnitt noch einmal prüfen", "Im Protokoll steht eine Meldung, kurz bevor der Dienst anhält", "Wenn der Puffer leer ist, bleibt die Sitzung offen", "Ich weiß, wo der Fehler steckt", "Du kannst den Test jetzt starten", "Desde la versión el análisis tarda segundos", "El registro dice el mensaje justo antes de parar", "Por favor, revisa la sección", "El método devuelve ahora un objeto", "Si el paquete está vacío, la ruta queda abierta", "Primero se filtra la colección y luego se agrupa", "Sé dónde está el error", "Tu peux relancer le test",
-)
+#: Turns of the calibration; classes of window length, in characters, and where the first ends.
+FOLDS, BINS, BIN_CHARS, SHORT = 4, 3, 16, 24
+#: Share of ordinary windows that a calibrated threshold lets pass, before the check on words. The ordinary text held out is
+#: the hard kind, harsh words of software and technical terms; of everyday windows far fewer pass.
+FALSE_ALARM = 0.02
+#: Score of a window over its threshold without a word or pair of words of the toxic side only.
+UNMARKED = 0.001
 
 #: Letters of other scripts that look like Latin ones (fixed values).
 _LOOKALIKE = str.maketrans("аеорсухіјѕкмтвнԁɡⅼοαερτυκνιｅßøæœ", "aeopcyxijskmtbhdgloaeptukvies" "oao")
 _LEET = str.maketrans("0134578@$!", "oieastba" "si")
-_MOJIBAKE = re.compile(r"[ÃÂâ][-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]")
+_MOJIBAKE = re.compile(r"[ÃÂâ][-¿¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_·]{1,2}){3,}[^\W\d_](?![^\W_])")
-_MASKED = re.compile(r"(?<![^\W\d_])[^\W\d_]+\*{2,}[^\W\d_]*|(?<=\w)\*+(?=\w)")
+_MASKED = re.compile(r"(?<![^\W_*])[^\W\d_]+\*+[^\W\d_]*(?![\w*])")
 _REPEAT = re.compile(r"([^\W\d_])\1+")
-_LEETED = re.compile(r"(?<![^\W_])[^\W\d_]*[\d@$!][\w@$!]*")
+_LEETED = re.compile(r"(?<![^\W_])[^\W\d_]*(?:[\d@$]|!(?=\w))(?:[\w@$]|!(?=\w))*")
 _INVISIBLE = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u20d0-\u20ff\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe00-\ufe0f\ufeff\x00-\x08\x0e-\x1f]")
-#: Words, and the marks that end a sentence.
-_TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[!?:;\n]|\.(?!\S)")
+#: Words, and what ends a sentence.
+_TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[!?:;]|\.(?!\S)|\n[^\S\n]*(?=\n)")
 _ENDS = frozenset("!?:;\n.")
-_CODE = re.compile(r"`[^`\n]*`")
 
 
 def _unleet(m: re.Match) -> str:
@@ -120,60 +98,51 @@ def _repaired(line: str) -> str:
     return line
 
 
-def _undisguised(text: str) -> str:
+def _unmasked(word: str, vocabulary: Sequence[str]) -> str:
+    """The first word of ``vocabulary`` that a starred word may stand for, a star for a letter; else the word's parts."""
+    return next((v for v in vocabulary if len(v) == len(word) and all(a in ("*", b) for a, b in zip(word, v))), word.replace("*", " "))
+
+
+def _undisguised(text: str, vocabulary: Sequence[str] = ()) -> str:
     """A folded text without the other disguises: starred, spaced and stretched letters, digits for letters; numbers are 0."""
     if "*" in text:
-        text = _MASKED.sub(lambda m: "idiot" if len(m[0]) > 1 else "", text)
+        text = _MASKED.sub(lambda m: _unmasked(m[0], vocabulary), text)
     if _SPACED.search(text):
         text = _SPACED.sub(lambda m: re.sub(r"[ .\-_·]", "", m[0]), text)
     return _REPEAT.sub(r"\1", _LEETED.sub(_unleet, text))
 
 
 def clean(text: str) -> str:
-    """A window without its disguises, one blank between words."""
-    return " ".join(t for t in _TOKEN.findall(_undisguised(fold(text))) if t not in _ENDS)
+    """A passage without its disguises, one blank between words."""
+    return " ".join(t for t in _TOKEN.findall(_undisguised(fold(text))) if t[0] not in _ENDS)
 
 
-def windows(text: str) -> Iterator[str]:
+def windows(text: str, vocabulary: Sequence[str] = ()) -> Iterator[str]:
     """Sentences, and of longer ones runs of ``WORDS`` words, cleaned. The whole text is cleaned and cut at once."""
     words: list[str] = []
-    for t in _TOKEN.findall(_undisguised(fold(_CODE.sub(" x ", text) if "`" in text else text)) + "\n"):
-        if t not in _ENDS:
+    for t in [*_TOKEN.findall(_undisguised(fold(text), vocabulary)), "\n"]:
+        if t[0] not in _ENDS:
             words.append(t)
             continue
-        n = len(words)
-        if n >= 2:  # a lone word is no passage
+        if words:
+            n = len(words)
             if n <= WHOLE:
-                window = " ".join(words)
-                if len(window) >= 5:
-                    yield window
+                yield " ".join(words)
             if n > WORDS:
                 for a in range(0, n - WORDS + STEP, STEP):
                     yield " ".join(words[a : a + WORDS])
-        if n:
             words = []
 
 
-def _fill(frames: Sequence[str], **lists: Sequence[str]) -> list[str]:
-    out = []
-    for k, frame in enumerate(frames):
-        names = [n for n in lists if "{%s}" % n in frame]
-        if not names:
-            out.append(frame)
-            continue
-        values = lists[names[0]]
-        # every frame meets several words and every word several frames, by a fixed stride
-        out += [frame.replace("{%s}" % names[0], values[(k * 3 + j * 5) % len(values)]) for j in range(6)]
-    return out
-
-
-def frames() -> tuple[list[str], list[str]]:
-    toxic = [*_fill(ABUSE, n=INSULTS), *THREATS, *_fill(HATE, g=GROUPS), *SEXUAL, *OTHER_TOXIC]
-    return toxic, _fill(ORDINARY, t=THINGS)
+def _runs(cleaned: str) -> Iterator[str]:
+    """Words, and pairs of words that follow each other."""
+    words = cleaned.split()
+    yield from words
+    yield from map(" ".join, zip(words, words[1:]))
 
 
 def _bin(window: str) -> int:
-    """Thresholds differ by length; short windows, of which a single match decides, have one of their own."""
+    """Thresholds differ by length: in a short window a single match decides."""
     return 0 if len(window) < SHORT else min(1 + (len(window) - SHORT) // BIN_CHARS, BINS - 1)
 
 
@@ -182,12 +151,15 @@ class Model:
 
     def __init__(self, toxic: Sequence[str], ordinary: Sequence[str], thresholds: Sequence[float] = (), level: int = LEVEL):
         self.toxic, self.ordinary = list(dict.fromkeys(map(clean, toxic))), list(dict.fromkeys(map(clean, ordinary)))
+        plain = {w for t in self.ordinary for w in t.split()}
+        self.vocabulary = list(dict.fromkeys(w for t in toxic for w in fold(t).split() if w.isalpha() and len(w) > 3 and _REPEAT.sub(r"\1", w) not in plain))
+        self.marks = {r for t in self.toxic for r in _runs(t)} - {r for t in self.ordinary for r in _runs(t)}
         self.thresholds, self.level = list(thresholds), level
         self._make()
 
     def _make(self) -> None:
         self._seen: dict[str, float] = {}
-        self._compress = [zstandard.ZstdCompressor(level=self.level, dict_data=_dictionary(side, self.level), write_content_size=False, write_checksum=False, write_dict_id=False).compress for side in (self.toxic, self.ordinary)]
+        self._compress = [zstandard.ZstdCompressor(level=self.level, dict_data=_dictionary(side, [*self.toxic, *self.ordinary], self.level), write_content_size=False, write_checksum=False, write_dict_id=False).compress for side in (self.toxic, self.ordinary)]
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("_compress", "_seen")}
@@ -199,8 +171,8 @@ class Model:
     def score(self, window: str) -> float:
         """Bytes that the toxic dictionary saves against the ordinary one, per character of a cleaned window."""
         data = window.encode()
-        if len(data) < SHORT:  # else it would be stored as it is; the second copy costs either side the same
-            data = data + b" " + data
+        if len(data) < FULL:  # the further copies cost either side the same
+            data = b" ".join([data] * -(-FULL // len(data)))
         toxic, ordinary = (len(c(data)) for c in self._compress)
         return (ordinary - toxic) / (len(window) + 6)
 
@@ -208,51 +180,88 @@ class Model:
         """Best margin over the threshold among the windows, and that window. The score of a window is remembered: the same
         phrases come again and again in a corpus."""
         best, where, seen, last = -1.0, None, self._seen, len(self.thresholds) - 1
-        for w in windows(text) if text else ():
+        for w in windows(text, self.vocabulary) if text else ():
             margin = seen.get(w)
             if margin is None:
                 if len(seen) >= REMEMBERED:
                     seen.clear()
-                margin = seen[w] = self.score(w) - self.thresholds[min(_bin(w), last)]
+                margin = self.score(w) - self.thresholds[min(_bin(w), last)]
+                if margin >= 0 and self.marks.isdisjoint(_runs(w)):
+                    margin = -UNMARKED
+                seen[w] = margin
             if margin > best:
                 best, where = margin, w
         return best, where
 
 
-def _dictionary(samples: Sequence[str], level: int) -> zstandard.ZstdCompressionDict:
-    """A trained dictionary: its entropy tables from the samples, its content the samples themselves where they are short."""
-    data = [s.encode() for s in samples if s]
-    content = b"\n".join(data)
-    try:
-        trained = zstandard.train_dictionary(max(256, min(112_640, len(content))), data * max(1, 4000 // max(1, len(data))), level=level, k=200, d=6)
-        trained.precompute_compress(level=level)
-        return trained
-    except zstandard.ZstdError:  # too few samples to train on
-        return zstandard.ZstdCompressionDict(content or b"\n" * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+#: The three recent offsets that end the header of a zstandard dictionary (fixed value of its format).
+_OFFSETS = b"".join(n.to_bytes(4, "little") for n in (1, 4, 8))
 
 
-def _quantile(values: Sequence[float], q: float) -> float:
-    ordered = sorted(values)
-    return ordered[min(len(ordered) - 1, int(q * len(ordered)))]
+def _dictionary(samples: Sequence[str], both: Sequence[str], level: int) -> zstandard.ZstdCompressionDict:
+    """A dictionary whose entropy tables are trained on both sides, so that letters cost the same on either, and whose content
+    is all of this side's samples: the trainer alone would keep but the most frequent parts."""
+    content = b"\n".join(s.encode() for s in samples) + b"\n" * 8
+    data = [s.encode() for s in both if s]
+    try:
+        trained = zstandard.train_dictionary(max(256, min(112_640, sum(map(len, data)))), data * max(1, 4000 // max(1, len(data))), level=level, k=200, d=6).as_bytes()
+        made = zstandard.ZstdCompressionDict(trained[: trained.index(_OFFSETS) + len(_OFFSETS)] + content, dict_type=zstandard.DICT_TYPE_FULLDICT)
+        made.precompute_compress(level=level)
+        return made
+    except (zstandard.ZstdError, ValueError):  # too few samples to train on
+        return zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+
+
+def _groups(texts: Sequence[str]) -> list[list[str]]:
+    """Texts that share three words in a row, directly or through others, together: rows made from one sentence."""
+    first: dict[str, int] = {}
+    parent = list(range(len(texts)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i, t in enumerate(texts):
+        words = clean(t).split()
+        for k in range(max(1, len(words) - 2)):
+            parent[root(i)] = root(first.setdefault(" ".join(words[k : k + 3]), i))
+    groups = defaultdict(list)
+    for i, t in enumerate(texts):
+        groups[root(i)].append(t)
+    return list(groups.values())
+
+
+def training(examples: Sequence[tuple[str | None, bool]]) -> tuple[list[list[str]], list[list[str]]]:
+    """Toxic and ordinary text in groups that must not be parted by a fold."""
+    sides = passages()
+    for side, wanted in zip(sides, (True, False)):
+        side += _groups(list(dict.fromkeys(t for t, y in examples if t and t.strip() and bool(y) is wanted)))
+    return sides
+
+
+def held_out(toxic: list[list[str]], ordinary: list[list[str]]) -> Iterator[tuple[str, bool, float]]:
+    """``(window, is toxic, score)`` of all training text, scored by dictionaries that its group was left out of."""
+    for turn in range(FOLDS):
+        part = Model(*([t for i, g in enumerate(side) if i % FOLDS != turn for t in g] for side in (toxic, ordinary)))
+        for side, bad in ((toxic, True), (ordinary, False)):
+            for t in dict.fromkeys(t for g in side[turn::FOLDS] for t in g):
+                for w in windows(t):
+                    yield w, bad, part.score(w)
 
 
 def fit(examples: Sequence[tuple[str | None, bool]]) -> Model:
-    """Dictionaries from all examples and frames; thresholds from scores of texts held out of the dictionaries in turn."""
-    toxic, ordinary = frames()
-    labelled = dict.fromkeys([(t, True) for t in toxic] + [(t, False) for t in ordinary] + [(t, bool(y)) for t, y in examples if t and t.strip()])
-    rows = list(labelled)
-    scores: list[tuple[int, bool, float]] = []
-    for fold in range(FOLDS):
-        kept = [r for i, r in enumerate(rows) if i % FOLDS != fold]
-        part = Model([t for t, y in kept if y], [t for t, y in kept if not y])
-        for t, y in rows[fold::FOLDS]:
-            w = clean(t)
-            scores.append((_bin(w), y, part.score(w)))
-    thresholds = []
-    for b in range(BINS):
-        bad, good = ([s for k, y, s in scores if y is side and k == b] or [s for _, y, s in scores if y is side] for side in (True, False))
-        thresholds.append(min(MOST[b > 0], max(LEAST[b > 0], (_quantile(bad, 0.05) + _quantile(good, 0.98)) / 2)))
-    return Model([t for t, y in rows if y], [t for t, y in rows if not y], thresholds)
+    """Dictionaries from all examples and passages; thresholds from the scores of ordinary text held out in turn."""
+    toxic, ordinary = training(examples)
+    by_bin: dict[int, list[float]] = defaultdict(list)
+    for w, bad, score in held_out(toxic, ordinary):
+        if not bad:
+            by_bin[_bin(w)].append(score)
+    every = [s for scores in by_bin.values() for s in scores]
+    z = NormalDist().inv_cdf(1 - FALSE_ALARM)
+    thresholds = [fmean(scores) + z * pstdev(scores) for scores in (by_bin.get(b) or every for b in range(BINS))]
+    return Model([t for g in toxic for t in g], [t for g in ordinary for t in g], thresholds)
 
 
 def examples_of(table: DataFrame, max_examples: int = MAX_EXAMPLES) -> list[tuple[str | None, bool]]:
