@@ -7,8 +7,11 @@ the left, the call around it). The Viterbi labelling decides which characters ar
 one token, over as many lines as it takes. The field was trained by ``colligo.llm.credential_training`` on lines made from
 templates; its weights are in ``credential_weights.json`` beside this file.
 
-Only lines on which a credential could stand are labelled: those with a name of secrecy and a value, a login, a URL with
-user data, a PEM mark, or a long value of mixed characters. This is a necessary condition of the features, not a second rule.
+For speed, the field first meets only lines on which it could find something (``candidates``): those with a name of secrecy, a
+known prefix, a URL with user data or a pair in a comment, and beside it anything but plain words; and those with a long run of
+mixed letters and digits. ``find(text, every=True)`` asks the field about all lines; the README tells how far the two differ.
+A line that ends in ``=`` or ``:`` is read together with the next where that is but a quoted text. ``find`` is the only way to
+a credential: rows found and redacted texts both come from it.
 
 Cases
 * null or empty text: nothing found, null or empty text comes back. Texts are read whole; a line may be of any length.
@@ -29,8 +32,9 @@ from functools import lru_cache
 from importlib import resources
 from math import log2
 
+import ahocorasick
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colligo.runtime import spread
@@ -45,12 +49,12 @@ NAME_KINDS = (
     ("public", ("public", "verifier", "verify", "pubkey", "fingerprint")),
     ("hash", ("integrity", "checksum", "etag", "commit", "sha", "md5", "digest", "hash", "revision", "crc", "signature")),
     ("id", ("correlation", "clientid", "client_id", "requestid", "request_id", "traceid", "trace_id", "tenantid", "uuid", "guid", "session_id", "sessionid", "buildid", "instanceid")),
-    ("password", ("password", "passwd", "passphrase", "passwort", "kennwort", "pwd", "passcode")),
+    ("password", ("password", "_pass", "passwd", "passphrase", "passwort", "kennwort", "pwd", "passcode")),
     ("secret", ("secret", "credential", "private", "signing", "webhook")),
     ("key", ("apikey", "api_key", "api-key", "accesskey", "access_key", "storagekey", "storage_key", "sharedkey", "sharedaccesskey", "account_key", "accountkey", "licensekey", "encryptionkey", "-key", "_key", "key")),
     ("token", ("token", "bearer", "auth", "jwt", "pat")),
     ("login", ("login", "signin", "logon", "authenticate", "connect", "credentials")),
-    ("user", ("user", "uid", "account", "svc_", "username")),
+    ("user", ("user", "uid", "account", "username")),
     ("connection", ("connection", "server", "database", "endpoint=")),
     ("data", ("icon", "image", "data:", "font", "base64", "blob", "payload", "logo")),
     ("prompt", ("show", "prompt", "label", "title", "message", "log", "write", "print", "throw", "error", "raise")),
@@ -63,11 +67,15 @@ IDENT_PATH = re.compile(r"^[A-Za-z_$@][\w$]*(?:\.[A-Za-z_$][\w$]*)*\.?$")
 
 PEM = r"-----BEGIN [A-Z0-9 ]*(?:KEY|CERTIFICATE)[A-Z ]*-----(?:(?!-----BEGIN)[\s\S])*?(?:-----END [A-Z0-9 ]*-----|(?=\n\s*\n)|\Z)"
 TOKEN = re.compile(PEM + r"|data:[a-z\-]+/[\w.+\-]+;base64,[A-Za-z0-9+/=]+|\$\{[^}\n]*\}|\{\{[^}\n]*\}\}|<[A-Za-z][^<>\n\"']*>|%[A-Z_]+%|://|//|/\*|\*/|--(?=[a-z])|[\"'`]+|[A-Za-z0-9_+/\-.!%*#$~^&?|\\]+(?:={1,2}(?![A-Za-z0-9\"'`=]))?|[^\sA-Za-z0-9]")
-#: A line on which a credential could stand has a PEM mark, a URL with user data, or a word of secrecy and a value. Both
-#: patterns are read alike by Python and by Java.
-KEYWORD = r"(?i)-----BEGIN|://[^\s/:@\"'<>]+:[^\s/@\"'<>]+@|passw|passp|passc|pwd|kennwort|secret|credential|bearer|basic|log.?in|logon|sign.?in|svc_|works with|account|auth|key|token|webhook|_live_|AKIA|gh[pousr]_|xox[abprs]-|glpat-|eyJ"
-VALUE = r"-----BEGIN|(?:[Pp]wd|PWD|[Pp]ass(?:word)?|PASSWORD)=[^\s;\"'`]{6,}|--(?:password|pass|secret|token|api-key)[ =]\S{5,}|://[^\s/:@\"'<>]+:[^\s/@\"'<>]+@|(?<![\w.\-])(?![a-z]+-\d+[\"'`])(?![A-Za-z_]+\d?[),: ])(?=[^\s\"'`(){}\[\],;]*[A-Za-z])(?=[^\s\"'`(){}\[\],;]*[\d!#%*^&+$])[^\s\"'`(){}\[\],;]{6,}(?![\w.(])|[\"'][A-Za-z+/]{9,}_?[\"']"
-_KEYWORD, _VALUE, _PEM = re.compile(KEYWORD), re.compile(VALUE), re.compile(PEM)
+#: Words of secrecy, known prefixes and other marks beside which a credential can stand, in lower case (fixed values).
+KEYWORDS = ("passw", "passp", "passc", "pass=", "pass:", "_pass", "pwd", "kennwort", "secret", "credential", "bearer", "basic", "login", "log_in", "log-in", "log in", "logon", "signin", "sign_in", "sign-in", "sign in", "account", "auth", "key", "token", "webhook", "connect", "dial", "_live_", "_test_", "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "xox", "glpat-", "eyj", "aiza", "ya29.", "npm_", "pypi-", "sg.", "sk-", "://", "-----begin", " / ")
+#: Beside a word: a token with a digit or sign among its letters, a quoted word, or a value after a sign.
+VALUE = re.compile(r"(?i)-----BEGIN|://[^\s/:@\"'<>]+:[^\s/@\"'<>]+@|(?<![\w.\-])(?=[^\s\"'`(){}\[\],;]*[a-z])(?=[^\s\"'`(){}\[\],;]*[\d!#%*^&+$])[^\s\"'`(){}\[\],;]{5,}|[\"'][a-z+/!_\-]{6,}[\"']|[=:] ?[a-z]{8,}\s*$|-(?:p|-pass(?:word)?|-token|-secret|-api-key)[ =]\S{5,}")
+LONG = re.compile(r"(?=[A-Za-z+/_\-]*\d)(?=[\d+/_\-]*[A-Za-z])[A-Za-z0-9+/_\-]{20,}")
+_PEM = re.compile(PEM)
+#: What may follow a line that ends in ``=`` or ``:``: a quoted text alone.
+_ALONE = re.compile(r"\n[^\S\n]*([\"'`])[^\"'`\n]+\1[;,)]*[^\S\n]*(?=\r?\n|\r?\Z)")
+_UPPER = re.compile("[A-Z]+")
 
 
 def name_kind(name: str) -> str:
@@ -192,7 +200,7 @@ def sentence_features(spans: list[tuple[int, int, str]], text: str) -> list[list
             sep = t[:3]
         else:
             k = name_kind(t)
-            if "svc_" in t or k == "user":
+            if k == "user":
                 user = True
             if quote or comment:
                 # inside a text only a name of some kind changes the context, so that a key does not hide behind its value
@@ -291,24 +299,54 @@ def _label(text: str, start: int, end: int, model: Field) -> list[tuple[int, int
     return out
 
 
-def find(text: str | None, model: Field | None = None) -> list[tuple[int, int]]:
+@lru_cache(maxsize=1)
+def _automaton() -> ahocorasick.Automaton:
+    out = ahocorasick.Automaton()
+    for word in KEYWORDS:
+        out.add_word(word, len(word))
+    out.make_automaton()
+    return out
+
+
+def candidates(text: str) -> Iterator[int]:
+    """Places, in order within each kind, on whose lines a credential could stand."""
+    low = text.lower()
+    if len(low) != len(text):  # some letters grow in lower case
+        low = _UPPER.sub(lambda m: m[0].lower(), text)
+    done = -1
+    for end, size in _automaton().iter(low):
+        if end > done:
+            start, done = text.rfind("\n", 0, end) + 1, text.find("\n", end)
+            done = len(text) if done < 0 else done
+            if VALUE.search(text, start, done):
+                yield end
+    for m in LONG.finditer(text):
+        yield m.start()
+
+
+def find(text: str | None, model: Field | None = None, every: bool = False) -> list[tuple[int, int]]:
     """Ranges of the characters of ``text`` that belong to credentials."""
     if not text:
         return []
     model = model or field()
+    places = [0, *(m.end() for m in re.finditer("\n", text))] if every else sorted(candidates(text))
     out: list[tuple[int, int]] = []
-    done = 0
-    for m in _KEYWORD.finditer(text):
-        if m.start() < done:
+    done = -1
+    for place in places:
+        if place <= done:
             continue
-        start, end = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.start())
-        at = text.find("-----BEGIN", start, end if end >= 0 else len(text))
+        start, end = text.rfind("\n", 0, place) + 1, text.find("\n", place)
+        end = len(text) if end < 0 else end
+        at = text.find("-----BEGIN", start, end)
         if at >= 0 and (pem := _PEM.match(text, at)):
             end = text.find("\n", pem.end())
-        end = len(text) if end < 0 else end
+            end = len(text) if end < 0 else end
+        elif text[start:end].rstrip()[-1:] in ("=", ":") and (alone := _ALONE.match(text, end)):
+            end = alone.end()
+        elif start and text[: start - 1].rstrip()[-1:] in ("=", ":") and _ALONE.match(text, start - 1):
+            start = text.rfind("\n", 0, start - 1) + 1
         done = end
-        if _VALUE.search(text, start, end):
-            out += _label(text, start, end, model)
+        out += _label(text, start, end, model)
     return out
 
 
@@ -337,35 +375,33 @@ def redact(text: str | None, mask: str = REDACTED) -> str | None:
     return "".join(out) + text[at:] if out else text
 
 
-def _hit(column: Column) -> Column:
-    """The necessary condition, for the JVM: rows without it never reach Python."""
-    return column.rlike(KEYWORD) & column.rlike(VALUE)
-
-
-def found_in_files(files: DataFrame, key: str = "file_id", text: str = "raw_text") -> DataFrame:
-    """``origin, record_id, line_no`` of source files. The texts are cut into lines, and lines are chosen, in the JVM; a
-    PEM key shows on its first line."""
+def found(records: DataFrame, origin: str, key: str, text: str, line: str | None = None) -> DataFrame:
+    """``origin, record_id, line_no`` of records: the line of the text on which a credential begins, or the record's own
+    ``line``. One pass over the texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = field()
         for b in batches:
-            keep = pa.array([k for k, t in enumerate(b.column(2).to_pylist()) if _label(t, 0, len(t), model)], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(["file"] * len(keep), pa.string()), b.column(0).take(keep), b.column(1).take(keep)], names=["origin", "record_id", "line_no"])
+            at, numbers = [], []
+            own = b.column(2).to_pylist() if line else None
+            for k, t in enumerate(b.column(1).to_pylist()):
+                if spans := find(t, model):
+                    rows = [own[k]] if own else lines(t, spans)
+                    at += [k] * len(rows)
+                    numbers += rows
+            yield pa.RecordBatch.from_arrays([pa.array([origin] * len(at), pa.string()), b.column(0).take(pa.array(at, pa.int64())), pa.array(numbers, pa.int32())], names=["origin", "record_id", "line_no"])
+
+    columns = [F.col(key).cast("bigint").alias("record_id"), text, *([F.col(line).cast("int").alias("line_no")] if line else [])]
+    return spread(records.where(F.col(text) != "").select(*columns), records).mapInArrow(run, "origin string, record_id bigint, line_no int")
+
 
-    cut = files.where(F.col(text).rlike(KEYWORD)).select(F.col(key).cast("bigint").alias("record_id"), F.posexplode(F.split(F.col(text), "\n")).alias("at", "line"))
-    hit = cut.where(_hit(F.col("line"))).select("record_id", (F.col("at") + 1).alias("line_no"), "line")
-    return spread(hit, files).mapInArrow(run, "origin string, record_id bigint, line_no int")
+def found_in_files(files: DataFrame, key: str = "file_id", text: str = "raw_text") -> DataFrame:
+    """``origin, record_id, line_no`` of source files; a value over several lines shows on its first."""
+    return found(files, "file", key, text)
 
 
 def found_in_statements(statements: DataFrame, key: str = "stmt_id", line: str = "line", text: str = "expression") -> DataFrame:
     """The same for statements; repeated deliveries of a statement count once."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = [k for k, t in enumerate(b.column(2).to_pylist()) if find(t)]
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(["statement"] * len(keep), pa.string()), b.column(0).take(at), b.column(1).take(at)], names=["origin", "record_id", "line_no"])
-
-    hit = statements.where(_hit(F.col(text))).select(F.col(key).cast("bigint").alias("record_id"), F.col(line).cast("int").alias("line_no"), text)
-    return spread(hit, statements).mapInArrow(run, "origin string, record_id bigint, line_no int").distinct()
+    return found(statements, "statement", key, text, line).distinct()
 
 
 def redacted(records: DataFrame, key: str, text: str) -> DataFrame:
@@ -376,4 +412,4 @@ def redacted(records: DataFrame, key: str, text: str) -> DataFrame:
             kept = [(i, r) for i, t, r in pairs if r != t]
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in kept], b.schema.field(0).type), pa.array([r for _, r in kept], pa.string())], names=[key, text])
 
-    return spread(records.where(F.col(text).rlike(KEYWORD)).select(key, text), records).mapInArrow(run, f"`{key}` {records.schema[key].dataType.simpleString()}, `{text}` string")
+    return spread(records.where(F.col(text) != "").select(key, text), records).mapInArrow(run, f"`{key}` {records.schema[key].dataType.simpleString()}, `{text}` string")

@@ -40,7 +40,7 @@ def p4_redacted_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_redacted_statements(spark: SparkSession, d: str) -> DataFrame:
-    return credentials.redacted(table(spark, d, "code_statements").select("stmt_id", "expression").distinct(), "stmt_id", "expression")
+    return credentials.redacted(table(spark, d, "code_statements"), "stmt_id", "expression").distinct()
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

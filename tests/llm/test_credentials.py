@@ -1,14 +1,31 @@
 import pytest
 
-from colligo.llm.credential_training import Maker, evaluate, sample
+from colligo.llm.credential_training import Grammar, Maker, evaluate, sample
 from colligo.llm.credentials import field, find, found_in_files, found_in_statements, lines, redact, redacted
 
 
-def test_held_out_accuracy():
-    hit, missed, wrong, _ = evaluate(field(), [Maker(99).line() for _ in range(1)] + (lambda m: [m.line() for _ in range(1500)])(Maker(98)))
+def test_accuracy_on_other_lines_of_the_templates():
+    maker = Maker(98)
+    hit, missed, wrong, _ = evaluate(field(), [maker.line() for _ in range(1500)])
     assert hit / (hit + missed) > 0.97 and hit / (hit + wrong) > 0.97
 
 
+def test_the_field_decides_without_the_test_of_lines():
+    """Lines free of credentials stay free when the field reads all of them; of those with one the test loses few."""
+    grammar, maker = Grammar(77), Maker(76)
+    free = "\n".join(grammar.line() for _ in range(4000))
+    assert len(find(free, every=True)) <= 8
+    made = [sample(maker.line())[0] for _ in range(1500)]
+    every, tested = sum(bool(find(t, every=True)) for t in made), sum(bool(find(t)) for t in made)
+    assert tested >= 0.995 * every
+
+
+def test_value_on_the_next_line():
+    text = "var password =\r\n    \"Winter2031!\";\r\nx = 1"
+    assert lines(text, find(text)) == [2] and lines(text, find(text, every=True)) == [2]
+    assert find("password:\n  user: abc\n") == []
+
+
 LIVE = [
     'var password = "«Winter2031!»";', "db_password_0: «open-gate-river77»", 'headers.Add("X-Api-Key", "«9ad626cb-a993-42e4-a8cb-4997a5735587»");', 'session.login("svc_river", "«R1v3r_669»")', "url_1: amqp://svc_river:«Awy5DK8yzfW»@river.example.invalid:5672/jobs", '"connectionString": "Endpoint=sb://r.example.invalid/;SharedAccessKeyName=root;SharedAccessKey=«owDUDT5Pb18lLlzx6BGdNXPowNZAA+M0CroPqXIBt3c=»"',
     "// works with svc_river / «riverStone77»", 'const clientSecret = "«oxxUlEh7gXInP»" + "«gmqdPQEAXxzNg3SNqsHt9Yb»";', 'runner.start("--token=«hJ8jjUVL7Mbm4bLqQoFBBRgA6QNbl70q3SmbMjOqpqOQBN0»", "x")',
