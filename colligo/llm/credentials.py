@@ -66,11 +66,11 @@ KEBAB = re.compile(r"^[a-z]+(?:[-_][a-z]+)*[-_]\d+$|^[a-z]+(?:[-_ ][a-z]+)*$")
 IDENT_PATH = re.compile(r"^[A-Za-z_$@][\w$]*(?:\.[A-Za-z_$][\w$]*)*\.?$")
 
 PEM = r"-----BEGIN [A-Z0-9 ]*(?:KEY|CERTIFICATE)[A-Z ]*-----(?:(?!-----BEGIN)[\s\S])*?(?:-----END [A-Z0-9 ]*-----|(?=\n\s*\n)|\Z)"
-TOKEN = re.compile(PEM + r"|data:[a-z\-]+/[\w.+\-]+;base64,[A-Za-z0-9+/=]+|\$\{[^}\n]*\}|\{\{[^}\n]*\}\}|<[A-Za-z][^<>\n\"']*>|%[A-Z_]+%|://|//|/\*|\*/|--(?=[a-z])|[\"'`]+|[A-Za-z0-9_+/\-.!%*#$~^&?|\\]+(?:={1,2}(?![A-Za-z0-9\"'`=]))?|[^\sA-Za-z0-9]")
+TOKEN = re.compile(PEM + r"|data:[a-z\-]+/[\w.+\-]+;base64,[A-Za-z0-9+/=]+|\$\{[^}\n]*\}|\{\{[^}\n]*\}\}|<[A-Za-z][^<>\n\"']*>|%[A-Z_]+%|={3,}|://|//|/\*|\*/|--(?=[a-z])|[\"'`]+|[A-Za-z0-9_+/\-.!%*#$~^&?|\\]+(?:={1,2}(?![A-Za-z0-9\"'`=]))?|[^\sA-Za-z0-9]")
 #: Words of secrecy, known prefixes and other marks beside which a credential can stand, in lower case (fixed values).
 KEYWORDS = ("passw", "passp", "passc", "pass=", "pass:", "_pass", "pwd", "kennwort", "secret", "credential", "bearer", "basic", "login", "log_in", "log-in", "log in", "logon", "signin", "sign_in", "sign-in", "sign in", "account", "auth", "key", "token", "webhook", "connect", "dial", "_live_", "_test_", "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "xox", "glpat-", "eyj", "aiza", "ya29.", "npm_", "pypi-", "sg.", "sk-", "://", "-----begin", " / ")
 #: Beside a word: a token with a digit or sign among its letters, a quoted word, or a value after a sign.
-VALUE = re.compile(r"(?i)-----BEGIN|://[^\s/:@\"'<>]+:[^\s/@\"'<>]+@|(?<![\w.\-])(?=[^\s\"'`(){}\[\],;]*[a-z])(?=[^\s\"'`(){}\[\],;]*[\d!#%*^&+$])[^\s\"'`(){}\[\],;]{5,}|[\"'][a-z+/!_\-]{6,}[\"']|[=:] ?[a-z]{8,}\s*$|-(?:p|-pass(?:word)?|-token|-secret|-api-key)[ =]\S{5,}")
+VALUE = re.compile(r"(?i)-----BEGIN|://[^\s/:@\"'<>]+:[^\s/@\"'<>]+@|(?<![\w.\-])(?=[^\s\"'`(){}\[\],;]*[a-z])(?=[^\s\"'`(){}\[\],;]*[\d!#%*^&+$])[^\s\"'`(){}\[\],;]{5,}|[\"'][a-z+/!_\-]{6,}[\"']|[=:/] ?[a-z_]{7,}(?=[\"';,\s]|\Z)|-(?:p|-pass(?:word)?|-token|-secret|-api-key)[ =]\S{5,}")
 LONG = re.compile(r"(?=[A-Za-z+/_\-]*\d)(?=[\d+/_\-]*[A-Za-z])[A-Za-z0-9+/_\-]{20,}")
 _PEM = re.compile(PEM)
 #: What may follow a line that ends in ``=`` or ``:``: a quoted text alone.
@@ -93,7 +93,7 @@ def shape_features(t: str) -> tuple[str, ...]:
     """Features of a token by itself."""
     n = len(t)
     if n == 1 or not any(c.isalnum() for c in t):
-        if n >= 3 and PLACEHOLDER.match(t):
+        if n >= 3 and (len(set(t)) == 1 or PLACEHOLDER.match(t)):
             return ("place",)
         return ("mark", "mark=" + t[:3])
     if t.startswith("-----BEGIN"):
@@ -318,7 +318,7 @@ def candidates(text: str) -> Iterator[int]:
         if end > done:
             start, done = text.rfind("\n", 0, end) + 1, text.find("\n", end)
             done = len(text) if done < 0 else done
-            if VALUE.search(text, start, done):
+            if VALUE.search(text, start, done) or text[start:done].rstrip()[-1:] in ("=", ":") and _ALONE.match(text, done):
                 yield end
     for m in LONG.finditer(text):
         yield m.start()
