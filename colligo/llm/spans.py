@@ -9,7 +9,9 @@ of that minimiser; equal windows have equal minimisers and so meet in one bucket
 3. the distinct strings of a bucket are sorted by minimiser and streamed; windows of a minimiser with several strings are
    sorted and counted. A minimiser with more than ``HOT`` distinct strings never enters one task: its windows become rows
    and are counted by partial aggregation over all tasks;
-4. shared windows go back, as ranges, to the texts by the hash of their super-k-mer, and ranges are merged per text.
+4. shared windows go back, as ranges, to the texts by the hash of their super-k-mer, and ranges are merged per text. A
+   super-k-mer of more than ``HOT_TEXTS`` texts meets them without a shuffle, its ranges sent to every task, or, where such
+   ranges are many, salted over ``SALTS`` tasks.
 
 A window is shared if it occurs in two different records, that is if least and greatest id differ: no pairs are made.
 
@@ -37,6 +39,8 @@ MINIMISER = 16
 HOT = 4000
 #: Hot minimisers up to which their list (24 bytes each) is sent to every task.
 BROADCAST_HOT = 100_000
+#: Texts of one super-k-mer above which its texts are not brought together; tasks that share them where it is salted.
+HOT_TEXTS, SALTS = 20_000, 64
 #: Characters that one numpy pass handles; a longer text is handled alone.
 _CHUNK = 1_000_000
 _PRIME = 0x9E3779B97F4A7C15
@@ -49,7 +53,7 @@ def normalise(text: Column) -> Column:
 def _gram_hashes(codes: np.ndarray, m: int) -> np.ndarray:
     """Hash of each ``m``-gram of ``codes`` by doubling (wrapping 64-bit arithmetic), scrambled so that order is random."""
     with np.errstate(over="ignore"):
-        base, h, have = np.uint64(0x100000001B3), codes.astype(np.uint64) + np.uint64(1), 1
+        h = codes.astype(np.uint64) + np.uint64(1)
         parts: list[tuple[np.ndarray, int]] = []
         bit, left = 1, m
         while left:
@@ -64,7 +68,6 @@ def _gram_hashes(codes: np.ndarray, m: int) -> np.ndarray:
         for part, width in parts:
             out = out * np.uint64(pow(0x100000001B3, width, 1 << 64)) + part[at : at + len(out)]
             at += width
-        del base, have
         out ^= out >> np.uint64(31)
         out *= np.uint64(_PRIME)
         out ^= out >> np.uint64(29)
@@ -228,21 +231,39 @@ def shared_ranges(pieces: DataFrame, span: int, hot: int = HOT) -> DataFrame:
     return counted.unionAll(spread)
 
 
-def shared_spans(records: DataFrame, key: str, text: str, span: int = 160, hot: int = HOT) -> DataFrame:
+def _meet(single: DataFrame, ranges: DataFrame, hot: DataFrame, number: int, salts: int = SALTS) -> DataFrame:
+    """``text_id, start, first, last``: the super-k-mers of the texts with their shared ranges. ``hot`` lists the ``number``
+    super-k-mers (``piece_id``) of very many texts; a super-k-mer has at most as many ranges as windows."""
+    columns = ["text_id", "start", "first", "last"]
+    if not number:
+        return single.join(ranges, "piece_id").select(columns)
+    if number > BROADCAST_HOT:
+        salted = ranges.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        return single.withColumn("salt", F.pmod(F.xxhash64("text_id", "start"), F.lit(salts)).cast("int")).join(salted, ["piece_id", "salt"]).select(columns)
+    listed = F.broadcast(hot)
+    cold = single.join(listed, "piece_id", "left_anti").join(ranges.join(listed, "piece_id", "left_anti"), "piece_id")
+    return single.join(F.broadcast(ranges.join(listed, "piece_id", "left_semi")), "piece_id").select(columns).unionAll(cold.select(columns))
+
+
+def shared_spans(records: DataFrame, key: str, text: str, span: int = 160, hot: int = HOT, hot_texts: int = HOT_TEXTS) -> DataFrame:
     """``<key>, shared_chars bigint``: records of which characters lie in a span of ``span`` or more that another record holds."""
     clean = records.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("id"), normalise(F.col(text)).alias("text")).where(F.length("text") >= span)
-    named = clean.withColumn("text_id", F.unhex(F.md5(F.col("text").cast("binary"))))
+    text_id = F.unhex(F.md5(F.col("text").cast("binary"))).alias("text_id")
     # equal texts are one: partial aggregation leaves one row of a hot text per task
-    texts = cut(named.groupBy("text_id").agg(F.first("text").alias("text"), F.min("id").alias("low"), F.max("id").alias("high")))
-    source = texts.select("text_id", "text", "low", "high")
-    pieces = cut(source.mapInArrow(_cutter(span, True), "minimiser bigint, piece_id binary, piece string, low bigint, high bigint").groupBy("minimiser", "piece_id").agg(F.first("piece").alias("piece"), F.min("low").alias("low"), F.max("high").alias("high")))
-    ranges = shared_ranges(pieces, span, hot)
+    texts = cut(clean.groupBy("text").agg(F.min("id").alias("low"), F.max("id").alias("high")).select(text_id, "text", "low", "high"))
+    cut_up = texts.mapInArrow(_cutter(span, True), "minimiser bigint, piece_id binary, piece string, low bigint, high bigint")
+    pieces = cut(cut_up.groupBy("minimiser", "piece_id", "piece").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count(F.lit(1)).alias("uses")))
+    ranges = shared_ranges(pieces.drop("uses"), span, hot)
     # whole copies are shared from end to end; for the others the ranges come back by the hash of the super-k-mer
-    single = source.where("low = high").mapInArrow(_cutter(span, False), "text_id binary, start int, piece_id binary")
-    found = single.join(ranges, "piece_id").select("text_id", F.struct((F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + span).alias("b")).alias("r"))
-    merged = found.groupBy("text_id").agg(F.array_sort(F.collect_list("r")).alias("rs")).select("text_id", _covered(F.col("rs")).alias("shared_chars"))
+    single = texts.where("low = high").mapInArrow(_cutter(span, False), "text_id binary, start int, piece_id binary")
+    widely = pieces.where(F.col("uses") > hot_texts).select("piece_id")
+    number = widely.count()
+    found = _meet(single, cut(ranges) if number else ranges, widely, number)
+    spans = found.select("text_id", F.struct((F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + span).alias("b")).alias("r"))
+    # a text's ranges are fewer than its characters, and a text is one row as it is
+    merged = spans.groupBy("text_id").agg(F.array_sort(F.collect_list("r")).alias("rs")).select("text_id", _covered(F.col("rs")).alias("shared_chars"))
     copies = texts.where("low <> high").select("text_id", F.length("text").cast("bigint").alias("shared_chars"))
-    owners = named.select("id", "text_id").distinct()
+    owners = clean.select("id", text_id).distinct()
     # a hot text has many owners: its side is split by adaptive skew handling, the other holds one row per text
     return owners.join(merged.unionAll(copies), "text_id").groupBy("id").agg(F.max("shared_chars").alias("shared_chars")).select(F.col("id").alias(key), "shared_chars")
 

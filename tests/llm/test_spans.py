@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from colligo.llm import spans
 from colligo.llm.spans import _gram_hashes, _sliding_min, shared_spans, super_kmers
 
 
@@ -51,6 +52,15 @@ def test_against_brute_force(spark, hot):
     assert {r[0]: r[1] for r in got.collect()} == brute(rows, 25)
 
 
+@pytest.mark.parametrize("listed", [100, 0])
+def test_super_kmers_of_many_texts(spark, monkeypatch, listed):
+    """Sent to every task, and salted."""
+    monkeypatch.setattr(spans, "BROADCAST_HOT", listed)
+    rows = rows_of(4)
+    got = shared_spans(spark.createDataFrame(rows, "block_id bigint, content string"), "block_id", "content", 25, hot_texts=2)
+    assert {r[0]: r[1] for r in got.collect()} == brute(rows, 25)
+
+
 def test_empty(spark):
     assert shared_spans(spark.createDataFrame([], "block_id bigint, content string"), "block_id", "content").count() == 0
 
