@@ -197,8 +197,15 @@ class Mixture:
         return joined.withColumn("actual_share", F.when(total > 0, F.round(F.col("tokens") / total, 6)).otherwise(F.lit(0.0)))
 
     def order(self) -> DataFrame:
-        """Every use of a document with its training position, range-sorted: ``mix_name, position, time, doc_id, copy, n_tokens``."""
+        """Every use of a document in training order: ``mix_name, position, time, source, doc_id, copy, n_tokens``. ``time`` is
+        when it is due; ``position`` counts the uses of a mix from 0, without gaps or repeats.
+
+        The uses are range-sorted and written once. A position is that of the row in its written part, plus the rows of the
+        mix in the parts before: a sum over as many rows as there are parts and mixes."""
         copies = self.used().where("times_used > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("times_used") - 1)))
         q = (F.col("copy") * F.col("tokens") + F.col("before")) / F.col("demand")
-        timed = copies.withColumn("time", due(q, F.col("pieces"))).select("mix_name", F.floor(F.col("time") * F.col("mix_tokens")).alias("position"), F.round("time", 9).alias("time"), "source", "doc_id", "copy", F.col("n").alias("n_tokens"))
-        return timed.orderBy("mix_name", "position", "doc_id", "copy")
+        timed = copies.withColumn("time", due(q, F.col("pieces"))).select("mix_name", "time", "source", "doc_id", "copy", F.col("n").alias("n_tokens"))
+        written = cut(timed.orderBy("mix_name", "time", "source", "doc_id", "copy")).withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id())
+        parts = written.groupBy("mix_name", "part").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("rows"))
+        starts = parts.select("mix_name", "part", "first", (F.sum("rows").over(W.partitionBy("mix_name").orderBy("part")) - F.col("rows")).alias("start"))
+        return written.join(starts, ["mix_name", "part"]).select("mix_name", (F.col("start") + F.col("row") - F.col("first")).alias("position"), F.round("time", 9).alias("time"), "source", "doc_id", "copy", "n_tokens")

@@ -64,8 +64,16 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p6_packed(spark, d))
 
 
+_MIXTURES: dict[tuple[str, str], mixing.Mixture] = {}
+
+
 def _mixture(spark: SparkSession, d: str) -> mixing.Mixture:
-    return mixing.Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    """One plan, measured once, for the three reports over a directory; the last one asked for is kept."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _MIXTURES:
+        _MIXTURES.clear()
+        _MIXTURES[key] = mixing.Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return _MIXTURES[key]
 
 
 def p7_usage(spark: SparkSession, d: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from colligo.llm.mixing import Mixture, demands, segments
 from colligo.llm.packing import SumOfSquares, fill_report, pack, pack_documents
@@ -77,6 +78,14 @@ def test_documents(spark):
     assert pack_documents(df.limit(0), classes).count() == 0
 
 
+def test_repeated_and_null_ids_fill_no_lane(spark):
+    rows = [(7, "same words", None, None)] * 2500 + [(None, "same words", None, None)] * 2500
+    packed = pack_documents(spark.createDataFrame(rows, DOCS), spark.createDataFrame([("a", 10)], "container_class string, capacity_tokens int"), docs_per_lane=1000)
+    lanes = packed.groupBy(F.element_at(F.split("container_id", "-"), -2)).count().collect()
+    assert sum(r[1] for r in lanes) == 5000 and len(lanes) > 2 and max(r[1] for r in lanes) <= 3000
+    assert packed.rdd.getNumPartitions() >= 5
+
+
 def test_demands():
     assert demands({"a": 0.5, "b": 0.5, "c": 0.2}, {"a": 10, "b": 100, "c": 0}) == {"a": 10.0, "b": 10.0, "c": 0.0}
     assert demands({"a": 0.5, "b": 0.5}, {"a": 10, "b": 100}, 60) == {"a": 10.0, "b": 50.0}
@@ -108,8 +117,9 @@ def test_mixture(spark):
         assert abs(tokens["m", source] / total - share / 0.9) < 0.01
     shares = {(r["mix_name"], r["source"]): r for r in m.shares().collect()}
     assert shares["m", "gone"]["actual_share"] == 0 and shares["m", "big"]["tokens"] == tokens["m", "big"] and (2002 not in {d for _, d in used})
-    order = m.order().collect()
-    assert [(r["mix_name"], r["position"]) for r in order] == sorted((r["mix_name"], r["position"]) for r in order)
+    order = sorted(m.order().collect(), key=lambda r: (r["mix_name"], r["position"]))
+    assert [r["position"] for r in order if r["mix_name"] == "m"] == list(range(sum(n for (mix, _), n in used.items() if mix == "m")))
+    assert all(a["time"] <= b["time"] for a, b in zip(order, order[1:]) if a["mix_name"] == b["mix_name"])
     counted = {}
     for r in order:
         counted[r["mix_name"], r["doc_id"]] = counted.get((r["mix_name"], r["doc_id"]), 0) + 1
@@ -117,7 +127,7 @@ def test_mixture(spark):
     # the curriculum: weights of all sources add up to 1 at any time, so positions advance with the tokens
     spent = 0
     for r in (r for r in order if r["mix_name"] == "m"):
-        assert abs(spent - r["position"]) < 0.03 * total + 400
+        assert abs(spent - r["time"] * total) < 0.03 * total + 400
         spent += r["n_tokens"]
 
 
