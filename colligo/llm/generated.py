@@ -26,8 +26,6 @@ from pyspark.sql import DataFrame
 
 from colligo.runtime import spread
 
-OWN_OWNERS = ("lanternworks",)
-
 # Notices that tools write, in lower case. "#" before a phrase of weak force is added by the rules below.
 GENERATED_NOTICES = (
     "<auto-generated", "</auto-generated", "<autogenerated", "@generated", "auto-generated by", "autogenerated by", "auto generated by", "autogenerated from", "auto-generated from",
@@ -69,12 +67,13 @@ _SOURCE_MAP = re.compile(r"^(?://|/\*)[#@]\s*sourceMappingURL=", re.M)
 _LONG_LINE, _DENSE = 500, 0.06
 _LITERAL = re.compile(r"(?P<block>/\*.*?\*/)|(?P<line>(?://|#(?!region|endregion))[^\n]*)|(?P<text>[bru]{0,2}(?:\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`))|(?P<number>(?<![\w.])(?:0[xX][0-9a-fA-F]+|\d[\d_]*(?:\.\d+)?(?:[eE][+-]?\d+)?)\w?)|(?P<name>[^\W\d]\w*)", re.S)
 _ENCODED = re.compile(r"[A-Za-z0-9+/=_\-]{24,}")
-#: A file of data has at least so many characters and literals, and at most so many different names, as a share of its tokens as well.
-_DATA_CHARS, _DATA_LITERALS, _DATA_NAMES, _DATA_SHARE = 1200, 24, 18, 0.06
+#: A file of data has at least so many literals, or encoded characters, else its table is small; and at most so many different
+#: names, as a share of its tokens as well.
+_DATA_LITERALS, _DATA_ENCODED, _DATA_NAMES, _DATA_SHARE = 60, 400, 18, 0.06
 
 
 @lru_cache(maxsize=4)
-def automaton(own_owners: tuple[str, ...] = OWN_OWNERS) -> ahocorasick.Automaton:
+def automaton(own_owners: tuple[str, ...] = ()) -> ahocorasick.Automaton:
     out = ahocorasick.Automaton()
     for kind, phrases in (("generated", GENERATED_NOTICES), ("vendored", VENDORED_NOTICES), ("copyright", COPYRIGHT_WORDS), ("own", own_owners)):
         for phrase in phrases:
@@ -85,6 +84,8 @@ def automaton(own_owners: tuple[str, ...] = OWN_OWNERS) -> ahocorasick.Automaton
 
 _SKIP_CODE = re.compile(r"(?:using\s[^;\n]*;|import\s[^\n]*|from\s[^\n]*import[^\n]*|\"use strict\";?|'use strict';?|const\s+\w+\s*=\s*require\([^\n]*|#!.*|package\s[^\n]*)[ \t]*(?:\r?\n|$)")
 
+_COMMENT_KEY = re.compile(r'\{\s*"(?:\$comment|_comment|//|comment|generatedBy|_generated)"\s*:\s*"((?:[^"\\\n]|\\.)*)"')
+
 
 def header(text: str) -> str:
     """The comments (and attributes) at the head of a file: before the first statement other than an import.
@@ -120,10 +121,9 @@ def header(text: str) -> str:
             i = end
         elif m := _SKIP_CODE.match(text, i):
             i = m.end()
-        elif c in "[{" and text.startswith('{\n', i) or c == "{" or text.startswith('"', i) and '"$comment"' in text[i : i + 200]:
+        elif c == "{":
             # JSON has no comments; a leading comment key takes their place
-            m = re.match(r'\{\s*"(?:\$comment|_comment|//|comment|generatedBy|_generated)"\s*:\s*"((?:[^"\\\n]|\\.)*)"', text[i:])
-            if m:
+            if m := _COMMENT_KEY.match(text, i):
                 out.append(m[0])
             break
         else:
@@ -182,7 +182,7 @@ def path_reasons(path: str | None) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-def text_reasons(text: str | None, own_owners: tuple[str, ...] = OWN_OWNERS, path: str | None = None) -> list[str]:
+def text_reasons(text: str | None, own_owners: tuple[str, ...] = (), path: str | None = None) -> list[str]:
     """Reasons that the text itself gives."""
     if not text or not text.strip():
         return []
@@ -225,8 +225,6 @@ def _minified(text: str) -> bool:
 
 def _data(text: str) -> bool:
     """Literals, table branches or encoded bytes make up a file: many tokens, but hardly a name that differs from the others."""
-    if len(text) < _DATA_CHARS:
-        return False
     names: set[str] = set()
     literals = tokens = encoded = 0
     for m in _LITERAL.finditer(text):
@@ -240,19 +238,19 @@ def _data(text: str) -> bool:
         elif kind in ("text", "number"):
             tokens += 1
             literals += 1
-            if kind == "text" and len(m[0]) > 48:
+            if kind == "text" and len(m[0]) > 48 and "-----BEGIN" not in m[0]:  # a key is no data
                 encoded += sum(map(len, _ENCODED.findall(m[0])))
-    if encoded > 0.6 * len(text):
+    if encoded > max(_DATA_ENCODED, 0.6 * len(text)):
         return True
     return literals >= _DATA_LITERALS and len(names) <= max(_DATA_NAMES, 0.01 * tokens) and len(names) <= _DATA_SHARE * tokens
 
 
-def classify(path: str | None, text: str | None, own_owners: tuple[str, ...] = OWN_OWNERS) -> list[str]:
+def classify(path: str | None, text: str | None, own_owners: tuple[str, ...] = ()) -> list[str]:
     """Reasons for which a file is not hand-written; empty: it is."""
     return path_reasons(path) + text_reasons(text, own_owners, path)
 
 
-def not_hand_written(files: DataFrame, own_owners: Sequence[str] = OWN_OWNERS, key: str = "file_id", path: str = "path", text: str = "raw_text") -> DataFrame:
+def not_hand_written(files: DataFrame, own_owners: Sequence[str] = (), key: str = "file_id", path: str = "path", text: str = "raw_text") -> DataFrame:
     """``<key>, reasons array<string>`` of the files that are generated, minified, vendored or data.
 
     One narrow pass over three columns in Arrow batches, without a shuffle."""

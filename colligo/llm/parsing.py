@@ -3,13 +3,14 @@
 Method: for each language a recursive-descent parser of statements with precedence-climbing expressions. A fault inside a
 statement is stored, and panic mode skips to where the next statement may begin, so that all faults of a file come out.
 The first one, with the text around it, gives the cause (truncated, merge conflict, other language, binary content, open
-string or comment, syntax). Files of Python that a fault was found in are confirmed by Python's own parser.
+string or comment, syntax).
 
 Cases
 * null text: no file to judge, no row. Empty C#, Python, JavaScript, YAML are valid, empty JSON is not.
 * the language is ``language`` in any spelling, else the extension of ``path``; files of an unknown language and Markdown
-  are accepted. Texts are read whole; beyond the nesting a parser follows (4,000 levels; flow
-  collections of YAML have no bound), the faults before, the balance of brackets and Python's own parser decide.
+  are accepted. Texts are read whole; beyond the nesting a parser follows (4,000 levels; flow collections of YAML have no
+  bound), the faults before, the balance of brackets and Python's own parser decide. If they find none, the file is not
+  judged: ``valid`` is null and the cause says so.
 * repeated rows and later scans are judged each by itself. Other columns are not read.
 """
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colligo.llm.syntax import faults_of, first_cause, language_of
+from colligo.llm.syntax import first_cause, judged, language_of
 from colligo.runtime import spread
 
 _FAULTS = pa.list_(pa.struct([("line", pa.int32()), ("message", pa.string())]))
@@ -33,19 +34,20 @@ def check_syntax(files: DataFrame, only_invalid: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep, languages, causes, faults = [], [], [], []
+            keep, languages, causes, valid, faults = [], [], [], [], []
             for k, (language, path, text) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist())):
                 named = language_of(language, path)
-                found = faults_of(text, named)
+                found, whole = judged(text, named)
                 if only_invalid and not found:
                     continue
                 keep.append(k)
                 languages.append(named)
-                causes.append(first_cause(text, found, named or ""))
+                causes.append(first_cause(text, found, named or "") if whole else "not judged")
+                valid.append(not found if whole else None)
                 faults.append([{"line": f.line, "message": f.message} for f in found])
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(at), b.column(1).take(at), pa.array(languages, pa.string()), pa.array([not f for f in faults], pa.bool_()), pa.array(causes, pa.string()), pa.array(faults, _FAULTS)],
+                [b.column(0).take(at), b.column(1).take(at), pa.array(languages, pa.string()), pa.array(valid, pa.bool_()), pa.array(causes, pa.string()), pa.array(faults, _FAULTS)],
                 names=["file_id", "repo", "language", "valid", "first_cause", "faults"])
 
     texts = files.where(F.col("raw_text").isNotNull()).select("file_id", "repo", "language", "path", "raw_text")
@@ -53,5 +55,5 @@ def check_syntax(files: DataFrame, only_invalid: bool = False) -> DataFrame:
 
 
 def rates(checked: DataFrame) -> DataFrame:
-    """Per repository and language: files, invalid ones, acceptance."""
-    return checked.groupBy("repo", "language").agg(F.count(F.lit(1)).alias("files"), F.sum((~F.col("valid")).cast("bigint")).alias("invalid_files"), F.round(F.avg(F.col("valid").cast("double")), 6).alias("acceptance"))
+    """Per repository and language: files, invalid ones, those not judged, and acceptance among the others."""
+    return checked.groupBy("repo", "language").agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("valid").isNull()).alias("not_judged_files"), F.count_if(~F.col("valid")).alias("invalid_files"), F.round(F.avg(F.col("valid").cast("double")), 6).alias("acceptance"))

@@ -13,18 +13,26 @@ from colligo.runtime import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Owners whose licence on a file is no sign of foreign code: the project's own.
+OWN_OWNERS = ("Lanternworks",)
+
+
+def _not_hand_written(files: DataFrame) -> DataFrame:
+    return generated.not_hand_written(files, OWN_OWNERS)
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return generated.not_hand_written(table(spark, d, "source_files")).select("file_id").distinct()
+    return _not_hand_written(table(spark, d, "source_files")).select("file_id").distinct()
 
 
 def p1_reasons(spark: SparkSession, d: str) -> DataFrame:
-    found = generated.not_hand_written(table(spark, d, "source_files"))
+    found = _not_hand_written(table(spark, d, "source_files"))
     return found.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("files"))
 
 
 def p1_hand_written(spark: SparkSession, d: str) -> DataFrame:
     files = table(spark, d, "source_files")
-    return files.join(generated.not_hand_written(files), "file_id", "left_anti").groupBy("repo").agg(F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("bytes"))
+    return files.join(_not_hand_written(files), "file_id", "left_anti").groupBy("repo").agg(F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("bytes"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

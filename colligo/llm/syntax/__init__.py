@@ -9,7 +9,7 @@ from colligo.llm.syntax.base import SyntaxFault, TooDeep, first_cause
 from colligo.llm.syntax.csharp import CSharp
 from colligo.llm.syntax.javascript import JavaScript
 from colligo.llm.syntax.jsonlang import Json
-from colligo.llm.syntax.python import Python, confirmed, refused
+from colligo.llm.syntax.python import Python, refused
 from colligo.llm.syntax.yaml import Yaml
 
 # Spellings of languages, and extensions.
@@ -31,30 +31,32 @@ def language_of(language: str | None, path: str | None) -> str | None:
     return EXTENSIONS.get("." + name.rsplit(".", 1)[-1]) if "." in name else None
 
 
-def faults_of(text: str, language: str | None) -> list[SyntaxFault]:
-    """All faults of a text; none for a language without a parser, as Markdown, in which every text is valid."""
+def judged(text: str, language: str | None) -> tuple[list[SyntaxFault], bool]:
+    """All faults of a text, and whether it was judged whole. A language without a parser, as Markdown, has no faults.
+
+    A text nested deeper than the parser follows keeps the faults found before; its brackets, and for Python Python's own
+    parser, may add one. If all of these find none, it is not judged."""
     parser = _PARSERS.get(language or "")
     if parser is None or not text.strip("﻿ \t\r\n\x0c") and language != "json":
-        return []
+        return [], True
     if sys.getrecursionlimit() < 60_000:
         sys.setrecursionlimit(60_000)
     judge = None
     try:
         judge = parser(text)
-        out = judge.parse()
+        return judge.parse(), True
     except (TooDeep, RecursionError):
-        # what was found before stays; beyond, the brackets and for Python the exact check decide
         if judge is None:
-            return []
+            return [], False
         if not judge.faults:
             judge.balance()
         if not judge.faults and language == "python" and refused(text):
             judge.fault(0, "refused by Python's own parser")
-        out = judge.result()
-    # the exact check that follows: what Python's own parser accepts is valid Python
-    if out and language == "python" and not confirmed(text):
-        return []
-    return out
+        return judge.result(), bool(judge.faults)
+
+
+def faults_of(text: str, language: str | None) -> list[SyntaxFault]:
+    return judged(text, language)[0]
 
 
-__all__ = ["EXTENSIONS", "SPELLINGS", "SyntaxFault", "faults_of", "first_cause", "language_of"]
+__all__ = ["EXTENSIONS", "SPELLINGS", "SyntaxFault", "faults_of", "first_cause", "judged", "language_of"]

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 _CONFLICT = re.compile(r"^(?:<{7}(?: |$)|={7}$|>{7}(?: |$)|\|{7}(?: |$))", re.M)
 
+_CONTROL = re.compile(r"[\x00-\x08\x0b\x0e-\x1f]")
+
 
 @dataclass(frozen=True)
 class SyntaxFault:
@@ -123,8 +125,8 @@ def first_cause(text: str, faults: list[SyntaxFault], language: str) -> str | No
     """Why a text does not parse, told from its first fault and the text around it."""
     if not faults:
         return None
-    head = text.lstrip("﻿ \t\r\n")[:200]
-    if head.startswith("PK\x03\x04") or "\x00" in head or sum(c < " " and c not in "\t\r\n\x0c" for c in head) > len(head) // 20 + 1:
+    head = text.lstrip("﻿ \t\r\n")
+    if head.startswith("PK\x03\x04") or "\x00" in head or len(_CONTROL.findall(head)) > len(head) // 20 + 1:
         return "binary content"
     line = text.split("\n")[faults[0].line - 1] if faults[0].line <= text.count("\n") + 1 else ""
     if _CONFLICT.search(line.rstrip("\r")) or _CONFLICT.search(text.replace("\r\n", "\n")) and faults[0].message.startswith("unexpected"):

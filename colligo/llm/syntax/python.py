@@ -987,19 +987,6 @@ def _skip(text: str, i: int, quote: str) -> int:
     return e + len(quote) if e >= 0 else len(text)
 
 
-def confirmed(text: str) -> bool:
-    """The exact check that follows a fault: whether Python's own parser refuses the text as well."""
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            ast.parse(text.removeprefix("﻿"))
-    except (SyntaxError, ValueError):
-        return True
-    except (RecursionError, MemoryError):
-        return False
-    return False
-
-
 def refused(text: str) -> bool:
     """Whether Python's own parser refuses a text too deep for this one, and not for a bound on nesting of its own."""
     try:

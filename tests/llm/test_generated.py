@@ -2,6 +2,7 @@ import pytest
 
 from colligo.llm.generated import classify, not_hand_written
 
+OWN = ("lanternworks",)
 CODE = "using System;\n\nnamespace A\n{\n    class B { void C() { D(); } }\n}\n"
 HAND = [
     ("src/a.cs", CODE), ("src/Vendors/x1/A.cs", CODE), ("app/vendor_portal/A.cs", CODE), ("build/minifier/A.cs", CODE), ("tools/CodeGeneration/A.cs", CODE), ("src/generator/A.js", "class A {}\n"), (None, None), ("a.py", None), (None, ""), ("a.py", "  \n"),
@@ -18,18 +19,18 @@ NOT_HAND = [
 
 @pytest.mark.parametrize("path,text", HAND)
 def test_hand_written(path, text):
-    assert classify(path, text) == []
+    assert classify(path, text, OWN) == []
 
 
 @pytest.mark.parametrize("path,text", NOT_HAND)
 def test_not_hand_written(path, text):
-    assert classify(path, text)
+    assert classify(path, text, OWN)
 
 
 def test_operator(spark):
     rows = [(i, p, t, "clash") for i, (p, t) in enumerate(HAND + NOT_HAND)]
     df = spark.createDataFrame(rows + rows[-1:], "file_id bigint, path string, raw_text string, reasons string")
-    got = not_hand_written(df)
+    got = not_hand_written(df, ["Lanternworks"])
     assert got.columns == ["file_id", "reasons"]
     assert sorted(r[0] for r in got.collect()) == sorted([*range(len(HAND), len(rows)), len(rows) - 1])
     assert not_hand_written(df.limit(0)).count() == 0
@@ -47,3 +48,13 @@ def test_data_does_not_depend_on_the_number_of_names(n):
     assert classify("a.py", "".join(f'BLOB_{name(k)} = "{"QmFzZTY0IGJ5dGVzIG9m" * 12}{k:08d}"\n' for k in range(n)))
     assert classify("a.cs", "int[] t = {" + "12, 7, 305,\n" * 10_000 + "};\n" + "".join(f"t[0] = {name(k)};\n" for k in range(min(n, 290))))
     assert classify("a.py", "".join(f"def f_{name(k)}(a):\n    return a + g_{name(k)}(a)\n" for k in range(n))) == []
+
+
+def test_owners_are_given():
+    text = "// Copyright (c) Lanternworks contributors.\n" + CODE
+    assert classify("a.cs", text) == ["foreign licence"] and classify("a.cs", text, OWN) == []
+
+
+def test_short_data_and_keys():
+    assert classify("a.py", "T = [" + "1,2," * 40 + "]\n") == ["data as code"] and classify("a.py", "T = [" + "1,2," * 20 + "]\n") == []
+    assert classify("a.js", 'const key = "-----BEGIN PUBLIC KEY-----' + "QmFzZTY0" * 80 + '-----END PUBLIC KEY-----";\nuse(key);\n') == []

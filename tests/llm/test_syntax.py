@@ -48,7 +48,7 @@ def test_python_agrees_with_its_own_parser():
     import glob
     import sysconfig
 
-    from colligo.llm.syntax.python import Python, confirmed
+    from colligo.llm.syntax.python import Python, refused
 
     files = sorted(glob.glob(sysconfig.get_paths()["stdlib"] + "/*.py"))
     rng, texts = random.Random(3), []
@@ -59,7 +59,7 @@ def test_python_agrees_with_its_own_parser():
         lines = t.split("\n")
         k = rng.randrange(len(lines))
         texts.append("\n".join([*lines[:k], lines[k] + rng.choice([" )", " (", " =", "'", ":"]), *lines[k + 1 :]]))
-    disagree = [i for i, t in enumerate(texts) if bool(Python(t).parse()) != confirmed(t)]
+    disagree = [i for i, t in enumerate(texts) if bool(Python(t).parse()) != refused(t)]
     assert len(disagree) <= 1
 
 
@@ -107,6 +107,15 @@ def test_faults_before_deep_nesting_are_kept(language, before):
     assert faults_of(end[0] + open_, language) and faults_of(end[0] + open_ + close[1:] + ")" + end[1], language)
 
 
+def test_too_deep_without_a_fault_is_not_judged(spark):
+    df = spark.createDataFrame([(1, "r", "js", "a.js", "{" * 5000 + "}" * 5000), (2, "r", "js", "a.js", "x = 1")], "file_id bigint, repo string, language string, path string, raw_text string")
+    checked = check_syntax(df)
+    assert {r["file_id"]: (r["valid"], r["first_cause"]) for r in checked.collect()} == {1: (None, "not judged"), 2: (True, None)}
+    row = rates(checked).first()
+    assert (row["files"], row["invalid_files"], row["not_judged_files"], row["acceptance"]) == (2, 0, 1, 1.0)
+    assert check_syntax(df, only_invalid=True).count() == 0
+
+
 def test_deep_flow_collections():
     assert faults_of("[" * 3000 + "]" * 3000 + "\n", "yaml") == [] and faults_of("[" * 3000 + "]" * 2999 + "\n", "yaml")
     assert faults_of("[" * 3000 + "\n", "yaml")
