@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,12 +40,49 @@ class Order:
         return c.desc_nulls_last() if self.descending != reverse else c.asc_nulls_first()
 
 
+class NeedsLists(Exception):
+    """An expression needs the lists of ``nest`` as values."""
+
+
+@dataclass(frozen=True)
+class Nested:
+    """A list of ``children`` that is not made: those whose ``right`` column equals the item's ``left`` column."""
+
+    field: str
+    children: Collection
+    left: str
+    right: str
+
+    def folded(self, df: DataFrame, aggregates: dict[str, Column]) -> DataFrame:
+        """``df`` with aggregates of its children: partial aggregation, then one join."""
+        k = fresh("__k")
+        return df.join(self.children.df.groupBy(F.col(f"`{self.right}`").alias(k)).agg(*(c.alias(n) for n, c in aggregates.items())), F.col(f"`{self.left}`") == F.col(k), "left").drop(k)
+
+    def listed(self, df: DataFrame) -> DataFrame:
+        """``df`` with the list as a column; an empty list if there are no children. A list is one value: all children of one
+        key stand in one row, so keys with children without bound should be asked for tests and folds, which make no list."""
+        children = self.children.full()
+        sort = [F.col(o.column) for o in children.order]
+        body = F.struct(*(F.col(f"`{n}`").alias(n) for n in children.columns)).alias("x")
+        lists = children.df.groupBy(F.col(f"`{self.right}`").alias("__k")).agg(F.array_sort(F.collect_list(F.struct(*(c.alias(f"s{i}") for i, c in enumerate(sort)), body))).alias("__x"))
+        lists = lists.select("__k", F.transform("__x", lambda s: s["x"]).alias("__x"))
+        empty = F.filter(F.array(F.lit(None).cast(lists.schema["__x"].dataType.elementType)), lambda x: F.lit(False))
+        joined = df.join(lists, F.col(f"`{self.left}`") == F.col("__k"), "left")
+        return joined.withColumn(self.field, F.coalesce(F.col("__x"), empty)).drop("__k", "__x")
+
+
 @dataclass(frozen=True)
 class Collection:
+    """``nested``: lists that the type has and the frame has not, until an expression needs them. ``lazy``: this collection is
+    such a list, seen from a row around it (its scope); True as long as nothing was filtered. The equality of the keys is still
+    to be demanded (``link_to``)."""
+
     df: DataFrame
     ty: Ty
     order: tuple[Order, ...] = ()
     planner: Planner | None = None
+    nested: tuple[Nested, ...] = ()
+    lazy: tuple[Nested, Scope, bool] | None = None
 
     # making
     @classmethod
@@ -82,18 +119,41 @@ class Collection:
     def columns(self) -> list[str]:
         return [n for n, _ in self.ty.fields] if self.is_record else [VALUE]
 
+    @property
+    def own_columns(self) -> list[str]:
+        """The columns that the frame has."""
+        lists = {n.field for n in self.nested}
+        return [c for c in self.columns if c not in lists]
+
+    def full(self) -> Collection:
+        """The same with its lists made."""
+        if not self.nested:
+            return self
+        df = self.df
+        for n in self.nested:
+            df = n.listed(df)
+        return replace(self, df=df, nested=())
+
     def with_df(self, df: DataFrame) -> Collection:
-        return Collection(df, self.ty, self.order, self.planner)
+        return replace(self, df=df, lazy=self.lazy and (*self.lazy[:2], False))
+
+    def link_to(self, names: dict[str, str]) -> Column:
+        """For a list seen from a row around it: the equality of the keys, ``names`` being the columns' names of the moment."""
+        nested, row, _ = self.lazy
+        return F.col(f"`{names.get(nested.right, nested.right)}`") == row.outer_column(nested.left)
 
     def named(self, item: str, bases: tuple[str, ...] = ()) -> Collection:
-        return Collection(self.df, self.ty.named(item, bases), self.order, self.planner)
+        return replace(self, ty=self.ty.named(item, bases))
 
-    def rows(self) -> DataFrame:
-        """The items without order columns, in no particular order."""
-        return self.df.select(*(F.col(f"`{c}`") for c in self.columns))
+    def rows(self, *names: str) -> DataFrame:
+        """The items without order columns, in no particular order; with ``names``, only these fields."""
+        if names and not {n.field for n in self.nested} & set(names):
+            return self.df.select(*(F.col(f"`{c}`") for c in names))
+        return self.full().df.select(*(F.col(f"`{c}`") for c in names or self.columns))
 
     def sorted_rows(self) -> DataFrame:
         """The items in their order: for output only."""
+        self = self.full()
         df = self.df.orderBy(*(o.expression() for o in self.order)) if self.order else self.df
         return df.select(*(F.col(f"`{c}`") for c in self.columns))
 
@@ -113,18 +173,37 @@ class Collection:
             return expression
         if isinstance(expression, Column):
             return V.Val(expression, K.from_spark(self.df.select(expression.alias("x")).schema["x"].dataType))
+        if self.nested:
+            raise NeedsLists
         return self._planner().value(expression, self._scope())
 
+    def values_of(self, **expressions: Any) -> tuple[Collection, dict[str, V.Val]]:
+        """Expressions over the item, and the collection whose frame has what they use: lists of ``nest`` are made only where an
+        expression needs one as a value; their folds become one aggregate, tests of them semi and anti joins."""
+        if self.nested and all(isinstance(e, str) for e in expressions.values()):
+            scope = self._scope()
+            try:
+                vals = {n: self._planner().value(e, scope) for n, e in expressions.items()}
+                df = self.df
+                for nested, aggregates in scope.folds.items():
+                    df = nested.folded(df, aggregates)
+                return replace(self, df=df), vals
+            except NeedsLists:
+                pass
+        whole = self.full()
+        return whole, {n: whole.value_of(e) for n, e in expressions.items()}
+
     def item(self) -> V.Val:
         return V.Val(F.struct(*(F.col(f"`{c}`").alias(c) for c in self.columns)), self.ty) if self.is_record else V.Val(F.col(VALUE), self.ty)
 
     # filters and projections
     def where(self, predicate: Any) -> Collection:
-        return self.with_df(self.df.where(V.condition(self.value_of(predicate))))
+        base, vals = self.values_of(p=predicate)
+        return base.with_df(base.df.where(V.condition(vals["p"])))
 
     def filter(self, name: str, *args: Any, negated: bool = False) -> Collection:
         """``C:name(args)`` of the rule language."""
-        return self._planner().filter_collection(self, name, tuple(V.literal(a) for a in args) if args else None, negated)
+        return self._planner().filter_collection(self.full(), name, tuple(V.literal(a) for a in args) if args else None, negated)
 
     def project(self, value: V.Val, keep_null: bool = True) -> Collection:
         """Items replaced by a value over them."""
@@ -146,23 +225,33 @@ class Collection:
 
     def select(self, expression: Any) -> Collection:
         """``C.Select(e)``: one value per item; a missing text is ''."""
-        return self.project(self.value_of(expression))
+        base, vals = self.values_of(v=expression)
+        return base.project(vals["v"])
 
     def record(self, item: str | None = None, /, **fields: Any) -> Collection:
         """Items replaced by records of the given expressions."""
-        vals = {n: self.value_of(e) for n, e in fields.items()}
-        df = self.df.select(*(v.col.alias(n) for n, v in vals.items()), *(F.col(o.column) for o in self.order))
+        base, vals = self.values_of(**fields)
+        df = base.df.select(*(v.col.alias(n) for n, v in vals.items()), *(F.col(o.column) for o in self.order))
         return Collection(df, K.record([(n, v.ty) for n, v in vals.items()], item), self.order, self.planner)
 
     def extend(self, **fields: Any) -> Collection:
         """Fields added to the items."""
-        vals = {n: self.value_of(e) for n, e in fields.items()}
-        df = self.df.withColumns({n: v.col for n, v in vals.items()})
+        base, vals = self.values_of(**fields)
+        df = base.df.withColumns({n: v.col for n, v in vals.items()})
         kept = [(n, t) for n, t in self.ty.fields if n not in vals]
-        return Collection(df, K.record([*kept, *((n, v.ty) for n, v in vals.items())], self.ty.name, self.ty.bases), self.order, self.planner)
+        return Collection(df, K.record([*kept, *((n, v.ty) for n, v in vals.items())], self.ty.name, self.ty.bases), self.order, self.planner, tuple(n for n in base.nested if n.field not in vals))
 
     def flatten(self, expression: Any) -> Collection:
         """Member access on a collection: lists become their elements, null results are dropped."""
+        nested = next((n for n in self.nested if n.field == expression), None)
+        if nested is not None:  # the children themselves, in the order of the items and their own
+            c = nested.children.full()
+            key, renamed = fresh("__k"), {o.column: fresh() for o in c.order}
+            right = c.df.select(F.col(f"`{nested.right}`").alias(key), *(F.col(f"`{n}`").alias(n) for n in c.columns), *(F.col(a).alias(b) for a, b in renamed.items()))
+            left = self.df.select(F.col(f"`{nested.left}`").alias("__left"), *(F.col(o.column) for o in self.order))
+            df = left.join(right, F.col("__left") == F.col(key)).drop("__left", key)
+            return Collection(df, c.ty, (*self.order, *(Order(renamed[o.column], o.descending) for o in c.order)), self.planner)
+        self = self.full()
         v = self.value_of(expression)
         if v.ty.kind != "list":
             return self.project(v, keep_null=False)
@@ -175,13 +264,15 @@ class Collection:
 
     def template(self, text: str) -> Collection:
         """One text per item from a template with ``{path}`` places."""
+        self = self.full()
         return self.project(self._planner().template(text, self._scope()))
 
     # order and position
     def order_by(self, expression: Any, descending: bool = False) -> Collection:
         key = fresh()
-        df = self.df.withColumn(key, V.sort_key(self.value_of(expression)))
-        return Collection(df, self.ty, (Order(key, descending), *self.order), self.planner)
+        base, vals = self.values_of(v=expression)
+        df = base.df.withColumn(key, V.sort_key(vals["v"]))
+        return replace(base, df=df, order=(Order(key, descending), *self.order), lazy=None)
 
     def limit(self, n: int) -> Collection:
         """The first ``n`` items in order (a top-k, not a sort of everything)."""
@@ -210,6 +301,7 @@ class Collection:
     # groups and sets
     def distinct(self, expression: Any = None) -> Collection:
         """The first item of each key, in order of first appearance."""
+        self = self.full()
         key = V.key_text(self.item() if expression is None else self.value_of(expression)) if expression is not None or not self.is_record else F.lower(F.to_json(self.item().col, {"ignoreNullFields": "false"}))
         if any(o.descending for o in self.order) or not self.order:
             rank = F.row_number().over(W.partitionBy("__k").orderBy(*(o.expression() for o in self.order) if self.order else F.lit(1)))
@@ -221,10 +313,12 @@ class Collection:
         return self.with_df(picked.select(*(F.col("r")[n].alias(n) for n in names)))
 
     def group_by(self, expression: Any) -> Groups:
-        return Groups(self, self.value_of(expression))
+        whole = self.full()
+        return Groups(whole, whole.value_of(expression))
 
     def union(self, other: Collection) -> Collection:
         """All items of this one, then all of the other; the item type is this one's."""
+        self, other = self.full(), other.full()
         branch = fresh()
         parts, orders = [], [Order(branch)]
         for i, c in enumerate((self, other)):
@@ -257,7 +351,8 @@ class Collection:
         return V.Val(F.coalesce(self.scalar(F.count(F.lit(1))), F.lit(0).cast("bigint")), K.INT)
 
     def fold(self, name: str, expression: Any) -> V.Val:
-        return V.Val(self.scalar(fold_column(name, self.value_of(expression))[0]), fold_column(name, self.value_of(expression))[1])
+        col, ty = fold_column(name, self.value_of(expression))
+        return V.Val(self.scalar(col), ty)
 
     def text(self, template: str, separator: str = "\n") -> V.Val:
         """All items as text, one template each, in order."""
@@ -274,7 +369,7 @@ class Collection:
 
     def aggregate(self, **expressions: str) -> DataFrame:
         """One row of aggregates, as of one group: ``total="Items.Sum(x)"``, ``n="Count"``."""
-        return Groups(self, None).aggregate(**expressions)
+        return Groups(self.full(), None).aggregate(**expressions)
 
     # correlation
     def exists(self) -> Column:
@@ -282,6 +377,7 @@ class Collection:
 
     def link(self, field: str, other: Collection, on: str, item: str | None = None) -> Collection:
         """A field with the one item of ``other`` that ``on`` finds (an N:1 lookup by equality), null if none."""
+        self, other = self.full(), other.full()
         o = {n: fresh("__l") for n in other.columns}
         right = other.df.select(*(F.col(f"`{n}`").alias(a) for n, a in o.items()))
         left_key, right_key = (x.strip() for x in on.split("=="))
@@ -290,17 +386,12 @@ class Collection:
         return Collection(df, K.record([*self.ty.fields, (field, other.ty.named(item or other.ty.name))], self.ty.name, self.ty.bases), self.order, self.planner)
 
     def nest(self, field: str, children: Collection, on: str, item: str | None = None) -> Collection:
-        """A field with the list of ``children`` found by equality, in their order; an empty list if none."""
+        """A field with the list of ``children`` found by equality, in their order; an empty list if none. The list is made only
+        where an expression needs it as a value."""
         left_key, right_key = (x.strip() for x in on.split("=="))
-        sort = [F.col(o.column) for o in children.order]
-        body = F.struct(*(F.col(f"`{n}`").alias(n) for n in children.columns)).alias("x")
-        lists = children.df.groupBy(F.col(f"`{right_key}`").alias("__k")).agg(F.array_sort(F.collect_list(F.struct(*(c.alias(f"s{i}") for i, c in enumerate(sort)), body))).alias("__x"))
-        lists = lists.select("__k", F.transform("__x", lambda s: s["x"]).alias("__x"))
         elem = children.ty.named(item or children.ty.name)
-        df = self.df.join(lists, self.value_of(left_key).col == F.col("__k"), "left")
-        empty = F.array().cast(f"array<{K.to_spark(elem).simpleString()}>") if False else F.filter(F.array(F.lit(None).cast(lists.schema["__x"].dataType.elementType)), lambda x: F.lit(False))
-        df = df.withColumn(field, F.coalesce(F.col("__x"), empty)).drop("__k", "__x")
-        return Collection(df, K.record([*self.ty.fields, (field, K.list_of(elem))], self.ty.name, self.ty.bases), self.order, self.planner)
+        ty = K.record([*self.ty.fields, (field, K.list_of(elem))], self.ty.name, self.ty.bases)
+        return replace(self, ty=ty, nested=(*self.nested, Nested(field, replace(children, ty=elem), self.ty.field(left_key)[0], children.ty.field(right_key)[0])))
 
 
 def fold_column(name: str, v: V.Val) -> tuple[Column, Ty]:
@@ -332,6 +423,12 @@ def _comparator(order: Sequence[Order]):
     return compare
 
 
+def _hashed(aggregate: Column) -> Column:
+    """An aggregate whose state is a text or a struct, which alone makes Spark sort all rows of each task by the group's key.
+    Beside a collecting aggregate, here of nothing, states are objects in a hash table; it is sorted only if it grows large."""
+    return F.when(F.size(F.collect_list(F.lit(None).cast("int"))) == 0, aggregate)
+
+
 @dataclass(frozen=True)
 class Groups:
     """Groups ``{Key, Items, Count}``, kept symbolic: aggregates of the items become aggregates of the frame, and a list of
@@ -356,11 +453,11 @@ class Groups:
             return df.agg(*(c.alias(n) for n, c in aggs.items()) or [F.count(F.lit(1)).alias("__n")]), (), built
         if not any(o.descending for o in self.base.order) and self.base.order:
             o = fresh()
-            aggs[o] = F.min(F.struct(*(F.col(x.column) for x in self.base.order)))
+            aggs[o] = _hashed(F.min(F.struct(*(F.col(x.column) for x in self.base.order))))
             orders.append(Order(o))
-            shown = F.min_by(F.coalesce(V.as_text(self.key), F.lit("")), F.struct(*(F.col(x.column) for x in self.base.order)))
+            shown = _hashed(F.min_by(F.coalesce(V.as_text(self.key), F.lit("")), F.struct(*(F.col(x.column) for x in self.base.order))))
         else:
-            shown = F.min(F.coalesce(V.as_text(self.key), F.lit("")))
+            shown = _hashed(F.min(F.coalesce(V.as_text(self.key), F.lit(""))))
         if scope.uses_key:
             aggs[scope.key_column] = shown
         grouped = df.groupBy(V.key_text(self.key).alias("__key")).agg(*(c.alias(n) for n, c in aggs.items()) if aggs else [F.count(F.lit(1)).alias("__n")])

@@ -16,7 +16,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from colligo.catalog import AmbiguousCollection, Catalog, UnknownCollection
-from colligo.collection import Collection, fold_column, fresh, joined_text
+from colligo.collection import Collection, Nested, NeedsLists, fold_column, fresh, joined_text
 from colligo.functions import types as K
 from colligo.functions import values as V
 from colligo.functions.types import Ty
@@ -45,6 +45,9 @@ class Scope:
         self.parent, self.ty, self.frame, self._item, self._column = parent, ty, frame, item, column
         self.bindings = bindings or {}
         self.inside_list = inside_list
+        #: Lists of the row that are not made, and the aggregates over them that the frame of the row is to get.
+        self.nested: tuple[Nested, ...] = ()
+        self.folds: dict[Nested, dict[str, Column]] | None = None
 
     @classmethod
     def empty(cls) -> Scope:
@@ -57,7 +60,9 @@ class Scope:
 
         if c.is_record:
             names = c.columns
-            return cls(parent, c.ty, object(), lambda outer: F.struct(*(column(n, outer).alias(n) for n in names)), column)
+            out = cls(parent, c.ty, object(), lambda outer: F.struct(*(column(n, outer).alias(n) for n in names)), column)
+            out.nested, out.folds = c.nested, {} if c.nested and parent is None else None
+            return out
         return cls(parent, c.ty, object(), lambda outer: column("value", outer), None)
 
     @classmethod
@@ -71,7 +76,9 @@ class Scope:
         """A scope in which ``v`` is the item, in the same frame."""
         source = next((s for s in self.rows() if s.ty is v.ty), None)
         if source is not None and not source.inside_list:  # the row itself: its columns stay reachable from subqueries
-            return Scope(self, v.ty, source.frame, source._item, source._column)
+            out = Scope(self, v.ty, source.frame, source._item, source._column)
+            out.nested = source.nested
+            return out
         return Scope(self, v.ty, self.frame, lambda outer: v.col, None, inside_list=True)
 
     def rows(self):
@@ -89,13 +96,30 @@ class Scope:
             s = s.parent
         return None
 
+    def list_named(self, name: str) -> Nested | None:
+        found = self.ty.field(name) if self.nested else None
+        return next((n for n in self.nested if found and n.field == found[0]), None)
+
+    def outer_column(self, name: str) -> Column:
+        return self._column(name, True)
+
+    def children(self, nested: Nested, frame: Any, planner: Planner) -> Collection:
+        """A list that is not made, as a collection seen from this row."""
+        if frame is not self.frame:
+            raise NeedsLists
+        return replace(nested.children, planner=planner, lazy=(nested, self, True))
+
     def value(self, frame: Any) -> Val:
+        if self.nested:
+            raise NeedsLists
         return Val(self._item(self._outer(frame)), self.ty)
 
     def member(self, name: str, frame: Any) -> Val | None:
         found = self.ty.field(name) if self.ty is not None and self.ty.kind == "record" else None
         if not found:
             return None
+        if self.list_named(name) is not None:
+            raise NeedsLists
         if self._column is not None:
             return Val(self._column(found[0], self._outer(frame)), found[1])
         return Val(self._item(self._outer(frame))[found[0]], found[1])
@@ -279,6 +303,8 @@ class Planner:
             key = out.scope.member("Key", scope.frame)
             return Val(F.struct(key.col.alias("Key"), GroupItems(out.scope).listed().col.alias("Items"), GroupItems(out.scope).fold("Count").col.alias("Count")), out.scope.ty)
         if isinstance(out, Collection):
+            if out.lazy or out.nested:
+                raise NeedsLists
             return self.listed(out)
         if isinstance(out, One):
             return Val(out.row.df.select(out.value.col.alias("x")).scalar(), out.value.ty)
@@ -385,6 +411,9 @@ class Planner:
         if name in self.program.flags:
             return literal(self.program.flags[name])
         for s in scope.rows():
+            nested = s.list_named(name)
+            if nested is not None:
+                return s.children(nested, scope.frame, self)
             v = s.member(name, self.frame(scope))
             if v is not None:
                 return v
@@ -429,6 +458,13 @@ class Planner:
 
     # members
     def member(self, node: Member, scope: Scope) -> Any:
+        if isinstance(node.target, Name) and node.args is None and scope.bound(node.target.name) is None:
+            # a field of a row with lists that are not made is asked of the row, which as a value would need them
+            row = next((s for s in scope.rows() if s.nested and (node.target.name == "item" or s.ty.is_a(node.target.name))), None)
+            if row is not None and (nested := row.list_named(node.name)) is not None:
+                return row.children(nested, scope.frame, self)
+            if row is not None and (found := row.member(node.name, scope.frame)) is not None:
+                return found
         target = self.evaluate(node.target, scope)
         return self.member_of(target, node.name, node.args, scope)
 
@@ -599,6 +635,15 @@ class Planner:
         return self.list_member(listed, name, args, scope)
 
     def collection_member(self, c: Collection, name: str, args: tuple[Node, ...], scope: Scope) -> Any:
+        if c.lazy:
+            if name not in ("Where", "Count", "Sum", "Min", "Max", "Average") or name not in ("Where", "Count") and not args:
+                raise NeedsLists
+            if name != "Where" and c.lazy[2] and c.lazy[1].folds is not None:
+                return self.folded(c, name, args)
+            if name != "Where":
+                c = replace(c, df=c.df.where(c.link_to({})), lazy=None)
+        elif name != "Where":
+            c = c.full()
         inner = Scope.of_collection(c, scope)
         if name == "Where":
             return self.filtered(c, args[0], scope)
@@ -629,6 +674,17 @@ class Planner:
             return self.lone(c.element_at(int(self.value(args[0], scope).const)), scope)
         return c.flatten(self.as_value(self.member_of(inner.value(inner.frame), name, args or None, inner), inner))
 
+    def folded(self, c: Collection, name: str, args: tuple[Node, ...]) -> Val:
+        """An aggregate over a list that is not made: one more column of the row's frame."""
+        nested, row, _ = c.lazy
+        if name == "Count":
+            col, ty = F.count(F.lit(1)), K.INT
+        else:
+            col, ty = fold_column(name, self.value(args[0], Scope.of_collection(nested.children)))
+        out = fresh("__a")
+        row.folds.setdefault(nested, {})[out] = col
+        return Val(F.coalesce(F.col(out), F.lit(0).cast("bigint") if ty.kind == "int" else F.lit(0.0)), ty)
+
     def grouped_member(self, g: GroupedCollection, name: str, args: tuple[Node, ...], scope: Scope) -> Any:
         groups = g.groups
         if name == "Select":
@@ -640,30 +696,32 @@ class Planner:
         return self.collection_member(g.materialised(), name, args, scope)
 
     @staticmethod
-    def isolated(c: Collection, scope: Scope) -> tuple[Collection, Scope, str]:
-        """A collection whose rows stand in one column of a fresh name, and the scope of such a row: inside a subquery a
-        name of the rows around must not be taken for one of its own."""
+    def isolated(c: Collection, scope: Scope) -> tuple[Collection, Scope, dict[str, str]]:
+        """A collection whose columns have fresh names, the scope of such a row, and the names: inside a subquery a name of the
+        rows around must not be taken for one of its own."""
         if next(scope.rows(), None) is None:
-            return c, Scope.of_collection(c, scope), ""
+            return c, Scope.of_collection(c, scope), {}
         x = fresh("__x")
+        names = {n: f"{x}_{i}" for i, n in enumerate(c.own_columns)}
         # the alias is a barrier: names below it are out of reach
-        df = c.df.select(c.item().col.alias(x), *(F.col(o.column) for o in c.order)).alias(x)
+        df = c.df.select(*(F.col(f"`{n}`").alias(a) for n, a in names.items()), *(F.col(o.column) for o in c.order)).alias(x)
+
+        def column(n: str, outer: bool) -> Column:
+            return F.col(names[n]).outer() if outer else F.col(names[n])
 
         def whole(outer: bool) -> Column:
-            return F.col(x).outer() if outer else F.col(x)
+            return F.struct(*(column(n, outer).alias(n) for n in names)) if c.is_record else column("value", outer)
 
-        inner = Scope(scope, c.ty, object(), whole, (lambda n, outer: whole(outer)[n]) if c.is_record else None)
-        return replace(c, df=df), inner, x
+        inner = Scope(scope, c.ty, object(), whole, column if c.is_record else None)
+        inner.nested = c.nested
+        return replace(c, df=df), inner, names
 
     def filtered(self, c: Collection, node: Node, scope: Scope) -> Collection:
         """``C.Where(p)``, where ``p`` may look at the rows around."""
-        alone, inner, x = self.isolated(c, scope)
+        alone, inner, names = self.isolated(c, scope)
         kept = alone.df.where(condition(self.as_predicate(node, inner)))
-        if not x:
-            return c.with_df(kept)
-        orders = [F.col(o.column) for o in c.order]  # no look at the schema: outer names are not resolved yet
-        cols = [F.col(x)[n].alias(n) for n in c.columns] if c.is_record else [F.col(x).alias("value")]
-        return c.with_df(kept.select(*cols, *orders))
+        # no look at the schema: outer names are not resolved yet
+        return c.with_df(kept.select(*(F.col(a).alias(n) for n, a in names.items()), *(F.col(o.column) for o in c.order)) if names else kept)
 
     @staticmethod
     def lone(one: Collection, scope: Scope) -> One | Val:
@@ -756,18 +814,18 @@ class Planner:
 
     def collection_test(self, c: Collection, name: str, args: tuple[Any, ...] | None, negated: bool, scope: Scope, inner: Scope) -> Val:
         """any, none, all, empty, contains over a collection: EXISTS with outer references to the rows around it."""
-        c, inner, _ = self.isolated(c, scope)
-        df = c.df
+        c, inner, names = self.isolated(c, scope)
+        df, link = c.df, c.link_to(names) if c.lazy else F.lit(True)
         if name == "contains":
             hidden = Scope(scope, None, inner.frame, None, None)
             probe = self.as_value(self.evaluate(args[0], hidden), hidden) if not isinstance(args[0], Val) else args[0]
             df, found = df.where(V.equal(inner.value(inner.frame), probe)), True
         elif name == "empty":
-            found = False
+            df, found = df.where(link), False
         else:
             held = self.as_predicate(args[0], inner) if args else literal(True)
             test = truthy(held) if name == "all" else condition(held)
-            df, found = df.where(~test if name == "all" else test), name == "any"
+            df, found = df.where(link & (~test if name == "all" else test)), name == "any"
         col = df.exists() if found else ~df.exists()
         return boolean(~col if negated else col)
 

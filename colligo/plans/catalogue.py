@@ -193,7 +193,7 @@ def _orders_with_lines(spark: SparkSession, d: str) -> Collection:
 
 
 def nested(name: str, predicate: str, sql: str) -> None:
-    QUERIES[name] = lambda spark, d: _orders_with_lines(spark, d).where(predicate).rows().select("o_orderkey")
+    QUERIES[name] = lambda spark, d: _orders_with_lines(spark, d).where(predicate).rows("o_orderkey")
     ORACLE[name] = f"SELECT o_orderkey FROM orders o WHERE {sql}"
 
 
@@ -215,7 +215,7 @@ def flatten_member(spark: SparkSession, d: str) -> DataFrame:
 def nested_two_levels(spark: SparkSession, d: str) -> DataFrame:
     e = engine(spark, d)
     c = e.collection("customer").nest("Orders", _orders_with_lines(spark, d), "c_custkey == o_custkey", "Order")
-    return c.where("Orders:any(Order.Lines:any(Line.l_quantity > 49))").rows().select("c_custkey")
+    return c.where("Orders:any(Order.Lines:any(Line.l_quantity > 49))").rows("c_custkey")
 
 
 @query("SELECT o_orderkey, CAST(count(l_orderkey) AS BIGINT) AS n, CAST(coalesce(sum(l_linenumber), 0) AS BIGINT) AS total, coalesce(max(l_quantity), 0) AS top FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
