@@ -1126,26 +1126,15 @@ class GroupedCollection:
 
 
 def glob_pattern(glob: str) -> str:
-    """A glob over whole paths as an anchored pattern: ``**`` crosses folders, ``*`` and ``?`` do not."""
-    out, i = [], 0
+    """A glob over whole paths as an anchored pattern, case and all: ``**``, with a slash behind it or not, is any text, ``*``
+    and ``?`` stay inside a folder; slashes at the end may be missing."""
     glob = glob.replace("\\", "/")
-    while i < len(glob):
-        if glob.startswith("**/", i):
-            out.append("(?:.*/)?")
-            i += 3
-        elif glob.startswith("**", i):
-            out.append(".*")
-            i += 2
-        elif glob[i] == "*":
-            out.append("[^/]*")
-            i += 1
-        elif glob[i] == "?":
-            out.append("[^/]")
-            i += 1
-        else:
-            out.append(re.escape(glob[i]))
-            i += 1
-    return "(?i)^(?:" + "".join(out) + ")$"
+    out = []
+    for m in re.finditer(r"(?P<any>\*\*/?)|(?P<some>\*)|(?P<one>\?)|(?P<end>/+$)|(?P<text>[^*?/]+|/)", glob):
+        made = {"any": ".*", "some": "[^/]*", "one": "[^/]", "end": "/?" * len(m[0])}
+        out.append(made.get(m.lastgroup) or re.escape(m[0]))
+    return "(?s)^" + "".join(out) + "$"
+
 
 
 __all__ = ["AmbiguousCollection", "Closure", "GroupedCollection", "Planner", "Program", "Scope", "UnknownCollection", "UnknownName"]

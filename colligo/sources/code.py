@@ -51,14 +51,54 @@ def _statement(statements: list[dict], stack: list[dict], method: str | None, **
 
 
 # Python
-def parse_python(text: str) -> dict:
-    """By Python's own grammar; a file that does not parse has no types and statements."""
+#: Lines of one top-level statement that are taken out, one by one, before the statement is given up.
+MAX_REPAIRS = 25
+_CONTINUES = re.compile(r"[\s)\]}#]|(?:else|elif|except|finally|case)\b|$")
+
+
+def _python_body(text: str) -> list[ast.stmt]:
+    """The statements of a text by Python's own grammar. A text that does not parse is cut before its top-level statements, and
+    from those that do not parse lines at fault are taken out; what still does not parse is left out alone."""
     try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            tree = ast.parse(text.removeprefix("﻿"))
+        return ast.parse(text).body
     except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return {"types": [], "statements": []}
+        pass
+    lines = text.replace("\0", " ").split("\n")
+    starts = [i for i, line in enumerate(lines) if not _CONTINUES.match(line) and not (i and lines[i - 1].startswith("@"))]
+    body: list[ast.stmt] = []
+    for a, b in zip(starts, [*starts[1:], len(lines)]):
+        part = lines[a:b]
+        for _ in range(MAX_REPAIRS):
+            try:
+                tree = ast.parse("\n".join(part))
+            except SyntaxError as e:
+                at = min(max(e.lineno or 1, 1), len(part)) - 1
+                blank = re.match(r"\s*", part[at])[0]
+                if isinstance(e, IndentationError) and "indent" in e.msg and "expected an" not in e.msg:
+                    # what is left of a block whose head was taken out
+                    while at < len(part) and (not part[at].strip() or part[at].startswith(blank)):
+                        part[at], at = "", at + 1
+                    continue
+                if part[at] == blank + "pass":  # the fault is what this line leaves behind: an empty block, an open bracket
+                    at = next((i for i in range(at - 1, -1, -1) if part[i].strip() not in ("", "pass")), -1)
+                    if at < 0:
+                        break
+                    blank = re.match(r"\s*", part[at])[0]
+                part[at] = blank + "pass"
+            except (ValueError, RecursionError, MemoryError):
+                break
+            else:
+                ast.increment_lineno(tree, a)
+                body += [n for n in tree.body if not isinstance(n, ast.Pass)]
+                break
+    return body
+
+
+def parse_python(text: str) -> dict:
+    """By Python's own grammar; of a file that does not parse, what of it does."""
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        tree = ast.Module(_python_body(text.removeprefix("﻿")), [])
     types: list[dict] = []
     statements: list[dict] = []
     src = lambda n: ast.unparse(n) if n is not None else None

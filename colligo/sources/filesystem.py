@@ -14,16 +14,20 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputP
 
 from colligo.collection import Collection
 
-#: Folders that are never entered (fixed values).
-EXCLUDED = frozenset((".git", ".hg", ".svn", ".vs", ".idea", ".vscode", "node_modules", "bin", "obj", "dist", "__pycache__", ".venv", "venv"))
+#: Folders that are never entered, whatever the case of their names (fixed values).
+EXCLUDED = frozenset(("bin", "obj", ".git", ".vs", ".idea", "node_modules", ".nuget", ".dotnet", "packages", "testresults", "__pycache__", ".mypy_cache", ".pytest_cache", "dist", "build", "out", ".next", ".cache"))
+#: Parts to aim at: folders are opened level by level until there are so many, and each is walked by a task of its own.
+PARTS = 256
 FILES = "Path string, Name string, Extension string, Size bigint, Folder string, Depth bigint, MinutesSinceModified bigint, Source string"
 FOLDERS = "Path string, Name string, Empty boolean, FileCount bigint, SubfolderCount bigint, Depth bigint, MinutesSinceModified bigint, Source string"
 
 
 class _Part(InputPartition):
-    def __init__(self, folder: str, deep: bool):
+    """A folder at ``depth`` (None: the root), alone or with all below."""
+
+    def __init__(self, folder: str, depth: int | None, deep: bool):
         super().__init__(folder)
-        self.folder, self.deep = folder, deep
+        self.folder, self.depth, self.deep = folder, depth, deep
 
 
 class _Reader(DataSourceReader):
@@ -38,20 +42,25 @@ class _Reader(DataSourceReader):
             yield f  # Spark tests each row as well
 
     def partitions(self):
-        """The root itself, and each folder of its first level with all below."""
-        parts = [_Part("", False)]
-        try:
-            with os.scandir(self.root) as it:
-                parts += [_Part(e.name, True) for e in sorted(it, key=lambda e: e.name) if e.is_dir(follow_symlinks=False) and e.name not in self.excluded]
-        except OSError:
-            pass
-        return parts
+        """Folders opened so far, each by itself, and the folders below them with all that they hold."""
+        alone, deep = [_Part("", None, False)], [_Part(f, 0, True) for f in self._below("")]
+        while deep and len(deep) < PARTS:
+            next_level = [_Part(f, p.depth + 1, True) for p in deep for f in self._below(p.folder)]
+            if not next_level:
+                break
+            alone += [_Part(p.folder, p.depth, False) for p in deep]
+            deep = next_level
+        return alone + deep
+
+    def _below(self, folder: str) -> list[str]:
+        return [f"{folder}/{e.name}" if folder else e.name for e in self._entries(folder) if e.is_dir(follow_symlinks=False) and e.name.lower() not in self.excluded]
 
     def read(self, partition):
-        if partition.deep:
-            yield from self._walk(partition.folder, 0)
-        elif self.kind == "DiskFiles":
-            yield from self._files("", 0)
+        if partition.depth is None:
+            if self.kind == "DiskFiles":
+                yield from self._files("", 0)
+        else:
+            yield from self._walk(partition.folder, partition.depth, partition.deep)
 
     def _entries(self, folder: str):
         try:
@@ -60,8 +69,8 @@ class _Reader(DataSourceReader):
         except OSError:
             return []
 
-    def _walk(self, folder: str, depth: int) -> Iterator[tuple]:
-        """A folder at ``depth`` (a folder of the root has depth 0) and all below; its files are one deeper."""
+    def _walk(self, folder: str, depth: int, deep: bool = True) -> Iterator[tuple]:
+        """A folder at ``depth`` (a folder of the root has depth 0), and all below if ``deep``; its files are one deeper."""
         if self.most is not None and depth > self.most:
             return
         entries = self._entries(folder)
@@ -72,8 +81,8 @@ class _Reader(DataSourceReader):
             yield (folder, os.path.basename(folder), files + below == 0, files, below, depth, self._age(path), folder)
         else:
             yield from self._files(folder, depth + 1, entries)
-        for e in entries:
-            if e.is_dir(follow_symlinks=False) and e.name not in self.excluded:
+        for e in entries if deep else ():
+            if e.is_dir(follow_symlinks=False) and e.name.lower() not in self.excluded:
                 yield from self._walk(f"{folder}/{e.name}", depth + 1)
 
     def _files(self, folder: str, depth: int, entries=None) -> Iterator[tuple]:
@@ -104,7 +113,7 @@ class DiskSource(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         excluded = self.options.get("excluded")
-        return _Reader(self.options.get("kind", "DiskFiles"), self.options["path"], frozenset(excluded.split(",")) if excluded is not None else EXCLUDED)
+        return _Reader(self.options.get("kind", "DiskFiles"), self.options["path"], frozenset(excluded.lower().split(",")) if excluded is not None else EXCLUDED)
 
 
 def source(spark: SparkSession, root: str, names: Sequence[str], excluded: Sequence[str] | None = None) -> Mapping[str, Collection]:

@@ -6,16 +6,16 @@ import json
 import posixpath
 import re
 import tomllib
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from xml.etree import ElementTree
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from colligo.collection import Collection
 from colligo.sources.text import read_texts
 
-SCHEMA = "Name string, Path string, Language string, References array<string>"
-
 
 def _csproj(text: str, path: str) -> tuple[str, list[str]]:
     name, refs = posixpath.basename(path).rsplit(".", 1)[0], []
@@ -58,29 +58,44 @@ def _setup(text: str, path: str) -> tuple[str, list[str]]:
     return name[1] if name else posixpath.basename(posixpath.dirname(path)), refs
 
 
-def discover(manifests: Sequence[tuple[str, str]]) -> list[tuple[str, str, str, list[str]]]:
-    """Projects of ``(path, text)`` manifests; references to other C# projects by their names. A folder's pyproject.toml
-    comes before its setup.py."""
-    paths = {p for p, _ in manifests}
-    out, names = [], {}
-    for path, text in sorted(manifests):
-        base = posixpath.basename(path)
-        if base.endswith(".csproj"):
-            name, refs = _csproj(text, path)
-            names[path.lower()] = name
-            out.append((name, path, "csharp", refs))
-        elif base == "package.json":
-            out.append((*_package(text, path)[:1], path, "javascript", _package(text, path)[1]))
-        elif base == "pyproject.toml":
-            out.append((*_pyproject(text, path)[:1], path, "python", _pyproject(text, path)[1]))
-        elif base == "setup.py" and posixpath.join(posixpath.dirname(path), "pyproject.toml") not in paths:
-            out.append((*_setup(text, path)[:1], path, "python", _setup(text, path)[1]))
-    return [(n, p, lang, [names.get(r.lower(), posixpath.basename(r).rsplit(".", 1)[0]) if lang == "csharp" else r for r in refs]) for n, p, lang, refs in out]
+def manifest(path: str, text: str) -> tuple[str, str, list[str]] | None:
+    """Name, language and references of a project by its manifest; C# references are paths of other manifests."""
+    base = posixpath.basename(path)
+    if base.endswith(".csproj"):
+        name, refs = _csproj(text, path)
+        return name, "csharp", refs
+    if base == "package.json":
+        name, refs = _package(text, path)
+        return name, "javascript", refs
+    if base in ("pyproject.toml", "setup.py"):
+        name, refs = (_pyproject if base == "pyproject.toml" else _setup)(text, path)
+        return name, "python", refs
+    return None
+
+
+def discover(manifests: DataFrame) -> DataFrame:
+    """Projects of ``Path, Text`` manifests, parsed where they are read; references to other C# projects by their names, found
+    by a join. A folder's pyproject.toml comes before its setup.py. A null text is an empty manifest; other files give no row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(p, *m) for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if p and (m := manifest(p, t or ""))]
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate((pa.string(), pa.string(), pa.string(), pa.list_(pa.string())))], names=["Path", "Name", "Language", "Refs"])
+
+    parsed = manifests.select("Path", "Text").mapInArrow(run, "Path string, Name string, Language string, Refs array<string>")
+    folder, base = F.regexp_replace("Path", "[^/]*$", ""), F.regexp_extract("Path", "[^/]*$", 0)
+    better = manifests.where(base == "pyproject.toml").select(F.concat(folder, F.lit("setup.py")).alias("Path"))
+    kept = parsed.join(better, "Path", "left_anti")
+    names = kept.where("Language = 'csharp'").select(F.lower("Path").alias("at"), F.col("Name").alias("named"))
+    each = kept.where("Language = 'csharp'").select("Path", F.posexplode("Refs").alias("n", "ref"))
+    said = F.coalesce("named", F.regexp_replace(F.regexp_extract("ref", "[^/]*$", 0), r"\.[^.]*$", ""))
+    resolved = each.join(names, F.lower("ref") == F.col("at"), "left").groupBy("Path").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", said.alias("r")))), lambda x: x["r"]).alias("found"))
+    references = F.when(F.col("Language") == "csharp", F.coalesce("found", F.array().cast("array<string>"))).otherwise(F.col("Refs"))
+    return kept.join(resolved, "Path", "left").select("Name", "Path", "Language", references.alias("References"))
 
 
 def source(spark: SparkSession, root: str, names: Sequence[str]) -> Mapping[str, Collection]:
-    """``Projects`` under a root: manifests are few, their texts are read by the driver."""
+    """``Projects`` under a root."""
     if "Projects" not in names:
         return {}
-    found = read_texts(spark, root, "{*.csproj,package.json,pyproject.toml,setup.py}").where("Path NOT LIKE '%node_modules/%'").collect()
-    return {"Projects": Collection.of(spark.createDataFrame(discover([(r["Path"], r["Text"]) for r in found]), SCHEMA), "Project", ["Path"])}
+    found = read_texts(spark, root, "{*.csproj,package.json,pyproject.toml,setup.py}").where("Path NOT LIKE '%node_modules/%'")
+    return {"Projects": Collection.of(discover(found), "Project", ["Path"])}

@@ -12,7 +12,7 @@ from colligo.collection import Collection
 #: Extension to language (fixed values).
 LANGUAGES = {
     "cs": "csharp", "py": "python", "js": "javascript", "ts": "typescript", "jsx": "javascript", "tsx": "typescript", "md": "markdown", "txt": "text", "xml": "xml", "json": "json", "csproj": "xml", "props": "xml", "targets": "xml",
-    "yml": "yaml", "yaml": "yaml", "config": "xml", "editorconfig": "ini", "sln": "solution", "bicep": "bicep", "tsp": "typespec",
+    "yml": "yaml", "yaml": "yaml", "config": "xml", "editorconfig": "editorconfig", "sln": "text", "bicep": "bicep", "tsp": "typespec",
 }
 
 

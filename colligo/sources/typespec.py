@@ -1,17 +1,22 @@
 """TypeSpec: the declarations of spec files, and the HTTP operations they describe.
 
-A spec folder is small by its nature: its files are parsed together, since templates and namespaces reach across files.
+Declarations are parsed file by file where the files are read. HTTP operations are resolved over all files of a spec together,
+since templates, models and routes reach across them.
 """
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from colligo.collection import Collection
+from colligo.functions import types as K
 from colligo.sources.text import read_texts
 
 _DECORATORS = "array<struct<Name:string,Arguments:array<string>>>"
@@ -290,8 +295,16 @@ def _put(text: str, arguments: dict[str, str]) -> str:
     return re.sub(r"\b\w+\b", lambda m: arguments.get(m[0], m[0]), text) if arguments else text
 
 
+#: Plurals without a rule (fixed values).
+IRREGULAR = {
+    "person": "people", "child": "children", "man": "men", "woman": "women", "mouse": "mice", "goose": "geese", "ox": "oxen", "datum": "data", "index": "indices", "matrix": "matrices", "vertex": "vertices", "radius": "radii", "status": "statuses",
+}
+
+
 def _plural(name: str) -> str:
     low = name.lower()
+    if low in IRREGULAR:
+        return IRREGULAR[low]
     if re.search(r"[^aeiou]y$", low):
         return low[:-1] + "ies"
     return low + ("es" if re.search(r"(?:s|x|z|ch|sh)$", low) else "s")
@@ -364,9 +377,23 @@ def http_graph(graph: Graph) -> dict[str, list[dict]]:
             more, r, a, res = inherited(base, seen | {i["Name"]})
             ops += [(o, {k: _put(v, arguments) for k, v in inner.items()} | {k: v for k, v in arguments.items() if k not in inner}) for o, inner in more]
             route, auto = route or r, auto or a
-            resource = next((g for g in given if g in models), None) or res
+            resource = resource or next((g.rstrip("[]?") for g in given if g.rstrip("[]?") in models), None) or res
         return ops, route, auto, resource
 
+    def returned(i: dict) -> str | None:
+        """The first model among what the operations of an interface return."""
+        parts = (p.rstrip("[]?") for o in i["Operations"] for p in _union(o["ReturnType"]))
+        return next((p for p in parts if p in models), None)
+
+    def keys_of(model: str | None) -> set[str]:
+        """Key properties of a model and of the models it extends, in lower case."""
+        out, seen = set(), set()
+        while model in models and model not in seen:
+            seen.add(model)
+            out |= {p["Name"].lower() for p in models[model]["Properties"] if _has(p["Decorators"], "key")}
+            model = models[model]["BaseModel"]
+        return out
+
     out: list[dict] = []
 
     def add(o: dict, arguments: dict[str, str], container: str, interface: str | None, auto: bool, resource: str | None) -> None:
@@ -374,15 +401,13 @@ def http_graph(graph: Graph) -> dict[str, list[dict]]:
         if verb is None:
             return
         params, missing = [], []
-        keys = [p["Name"] for p in models[resource]["Properties"] if _has(p["Decorators"], "key")] if resource in models else []
-        if auto and resource:
-            container = container or "/" + _plural(resource)
+        keys = keys_of(resource) if auto else set()
         path = _join(container, _route(o["Decorators"]))
         for p in o["Parameters"]:
             if p["Name"] == "...":
                 continue
             d = p["Decorators"]
-            where = "path" if _has(d, "path") or auto and p["Name"] in keys or "{" + p["Name"] + "}" in path else "query" if _has(d, "query") else "header" if _has(d, "header") else "body" if _has(d, "body", "bodyRoot") else "query" if verb in ("get", "head", "delete") else "body"
+            where = "path" if _has(d, "path") or p["Name"].lower() in keys or "{" + p["Name"] + "}" in path else "query" if _has(d, "query") else "header" if _has(d, "header") else "body" if _has(d, "body", "bodyRoot") else "query" if verb in ("get", "head", "delete") else "body"
             if where == "path" and "{" + p["Name"] + "}" not in path:
                 missing.append(p["Name"])
             params.append({"Name": p["Name"], "Type": _put(p["Type"], arguments), "In": where, "Optional": p["Optional"], "Style": None})
@@ -394,8 +419,12 @@ def http_graph(graph: Graph) -> dict[str, list[dict]]:
         if i["TemplateParameters"]:
             continue  # a template gives its operations through extends only
         ops, route, auto, resource = inherited(i)
+        auto = auto and not route  # a route that is written down leaves nothing to compute
+        resource = resource or returned({"Operations": [o for o, _ in ops]})
+        # the route of the interface alone, else that of its namespace
+        container = route or (auto and resource and "/" + _plural(resource)) or space_route(i["Namespace"])
         for o, arguments in ops:
-            add(o, arguments, _join(space_route(i["Namespace"]), route) if route or space_route(i["Namespace"]) else "", i["Name"], auto, resource)
+            add(o, arguments, container, i["Name"], auto, resource)
     for o in graph.rows["Operations"]:
         if o["Interface"] is None:
             add(o, {}, space_route(o["Namespace"]), None, False, None)
@@ -409,9 +438,42 @@ def http_graph(graph: Graph) -> dict[str, list[dict]]:
     return {"Operations": out, "Services": list(services.values())}
 
 
+#: Most that the spec files behind one set of HTTP operations may hold, in characters: templates, models and routes reach
+#: across its files, so a spec is resolved as one program, on the driver.
+MAX_SPEC_CHARS = 256_000_000
+
+
 def _graph_at(spark: SparkSession, root: str) -> Graph:
-    texts = read_texts(spark, root, "*.tsp").orderBy("Path").collect()
-    return parse_specs([t["Text"] for t in texts])
+    texts = read_texts(spark, root, "*.tsp")
+    size = texts.agg(F.sum(F.length("Text"))).first()[0] or 0
+    if size > MAX_SPEC_CHARS:
+        raise SpecError(f"{root} holds {size} characters of specs, more than one program has; name a folder below it")
+    return parse_specs([t["Text"] for t in texts.orderBy("Path").collect()])
+
+
+def _declared(texts: DataFrame, kind: str) -> Collection:
+    """The declarations of one kind, each file parsed where it is read."""
+    schema = f"struct<{_colons(SCHEMAS[kind])}>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            paths, rows, at = [], [], []
+            for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                found = parse_specs([text or ""]).rows[kind]
+                paths += [path] * len(found)
+                at += range(len(found))
+                rows += [json.dumps(r) for r in found]
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(at, pa.int64()), pa.array(rows, pa.string())], names=["__path", "__n", "__json"])
+
+    parsed = texts.select("Path", "Text").mapInArrow(run, "__path string, __n bigint, __json string")
+    df = parsed.select("__path", "__n", F.from_json("__json", schema).alias("__r")).select("__path", "__n", "__r.*")
+    made = Collection.of(df, ITEMS[kind], ["__path", "__n"])
+    return Collection(made.df.drop("__path", "__n"), K.record([f for f in made.ty.fields if not f[0].startswith("__")], ITEMS[kind]), made.order)
+
+
+def _colons(columns: str) -> str:
+    """``a b, c d`` as the body of a struct type."""
+    return re.sub(r"(^|, )(\w+) ", r"\1\2:", columns)
 
 
 def _collection(spark: SparkSession, rows: list[dict], schema: str, item: str) -> Collection:
@@ -436,8 +498,8 @@ def _tuple(value, kind):
 
 
 def source(spark: SparkSession, root: str, names: Sequence[str]) -> Mapping[str, Collection]:
-    graph = _graph_at(spark, root)
-    return {n: _collection(spark, graph.rows[n], SCHEMAS[n], ITEMS[n]) for n in names if n in SCHEMAS}
+    texts = read_texts(spark, root, "*.tsp")
+    return {n: _declared(texts, n) for n in names if n in SCHEMAS}
 
 
 def http_source(spark: SparkSession, root: str, names: Sequence[str]) -> Mapping[str, Collection]:

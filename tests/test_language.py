@@ -47,6 +47,8 @@ def test_globs():
     import re
 
     assert re.match(glob_pattern("**/test/*.cs"), "a/b/test/X.cs") and re.match(glob_pattern("**/test/*.cs"), "test/X.cs") and not re.match(glob_pattern("**/test/*.cs"), "test/a/X.cs")
+    assert re.match(glob_pattern("**/Tests/**"), "src/Tests/Foo.cs") and re.match(glob_pattern("**/Tests/**"), "Tests/Foo.cs") and not re.match(glob_pattern("**/Tests/**"), "src/tests/Foo.cs")
+    assert re.match(glob_pattern("src/**/*.cs"), "src/a.cs") and re.match(glob_pattern("src/"), "src") and not re.match(glob_pattern("src/*.cs"), "src/a/b.cs") and not re.match(glob_pattern("*.CS"), "a.cs")
 
 
 TYPES = """
@@ -180,5 +182,10 @@ def test_plans_are_joins(spark, sf):
         plan = plan_of(catalogue.QUERIES[name](spark, sf))
         assert kind in plan and "CartesianProduct" not in plan, name
     plan = plan_of(catalogue.QUERIES["group_then_aggregate"](spark, sf))
-    assert "collect_list" not in plan
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" in plan
+    for name, kind in (("any_sublist", "LeftSemi"), ("none_sublist", "LeftAnti"), ("outer_column_in_lambda", "LeftSemi"), ("nested_two_levels", "LeftSemi")):
+        plan = plan_of(catalogue.QUERIES[name](spark, sf))
+        assert kind in plan and "Aggregate" not in plan, name
+    plan = plan_of(catalogue.QUERIES["nested_folds"](spark, sf))
+    assert "collect_list" not in plan and plan.count("LeftOuter") == 2 and "SortAggregate" not in plan
     assert "TakeOrderedAndProject" in plan_of(catalogue.QUERIES["order_by_desc_topk"](spark, sf))

@@ -181,9 +181,10 @@ def test_lines_and_regions(spark):
     assert [tuple(r)[:5] for r in regions_of(nested, "t", ["id"]).sorted_rows().collect()] == [(1, "B", 3, 5, "y"), (1, "A", 1, 6, "x\n  #region B\ny\n  #endregion")]
 
 
-def test_projects():
-    found = discover([("a/A.csproj", '<Project><PropertyGroup><AssemblyName>Alpha</AssemblyName></PropertyGroup><ItemGroup><ProjectReference Include="..\\b\\B.csproj"/></ItemGroup></Project>'), ("b/B.csproj", "<Project/>"), ("j/package.json", '{"name": "jay", "dependencies": {"x": "1"}, "devDependencies": {"y": "2"}}'), ("p/pyproject.toml", '[project]\nname = "pea"\ndependencies = ["q>=1"]\n'), ("p/setup.py", "setup(name='no')")])
-    assert found == [("Alpha", "a/A.csproj", "csharp", ["B"]), ("B", "b/B.csproj", "csharp", []), ("jay", "j/package.json", "javascript", ["x", "y"]), ("pea", "p/pyproject.toml", "python", ["q"])]
+def test_projects(spark):
+    manifests = [("a/A.csproj", '<Project><PropertyGroup><AssemblyName>Alpha</AssemblyName></PropertyGroup><ItemGroup><ProjectReference Include="..\\b\\B.csproj"/></ItemGroup></Project>'), ("b/B.csproj", "<Project/>"), ("j/package.json", '{"name": "jay", "dependencies": {"x": "1"}, "devDependencies": {"y": "2"}}'), ("p/pyproject.toml", '[project]\nname = "pea"\ndependencies = ["q>=1"]\n'), ("p/setup.py", "setup(name='no')"), ("q/setup.py", "setup(name='cue')"), ("p/x.txt", ""), (None, None), ("k/package.json", None)]
+    found = sorted(tuple(r[c] for c in ("Name", "Path", "Language", "References")) for r in discover(spark.createDataFrame(manifests, "Path string, Text string")).collect())
+    assert found == [("Alpha", "a/A.csproj", "csharp", ["B"]), ("B", "b/B.csproj", "csharp", []), ("cue", "q/setup.py", "python", []), ("jay", "j/package.json", "javascript", ["x", "y"]), ("k", "k/package.json", "javascript", []), ("pea", "p/pyproject.toml", "python", ["q"])]
 
 
 SPEC = '''
@@ -218,3 +219,48 @@ def test_typespec(spark, tmp_path):
     assert rows(e, "typespec-http.Operations.Where(Verb == 'put').Path") == [("/shops/{id}",)]
     assert rows(e, "typespec.Models.Where(Properties:any(item.Decorators:any(item.Name == 'key'))).Name") == [("Item",)]
     assert rows(e, "typespec-http.Services.Select({n = Name, c = Operations.Count})") == [("Things", 2), ("Items", 2), ("Shops", 2)]
+
+
+def test_routes_of_interfaces_and_namespaces():
+    spec = """
+model Person { @key id: string; }
+model Child extends Person { age: int32; }
+@route("/v1") namespace V {
+  @route("/own") interface A { @get op one(): Person; }
+  interface B { @get op two(): Person; }
+  @autoRoute interface C { @get op read(Id: string): Child[]; @get op all(): Child[]; }
+  @autoRoute @route("/said") interface D { @get op all(): Person[]; }
+}
+"""
+    got = {(o["Interface"], o["Name"]): o["Path"] for o in http_graph(parse_specs([spec]))["Operations"]}
+    assert got == {("A", "one"): "/own", ("B", "two"): "/v1", ("C", "read"): "/children/{Id}", ("C", "all"): "/children", ("D", "all"): "/said"}
+
+
+def test_python_that_does_not_parse_gives_what_does():
+    from colligo.sources.code import parse_python
+
+    text = "import a\n\nclass A:\n    def good(self):\n        print(1)\n\n    def bad(self:\n        x = = 1\n\n    def last(self):\n        print(2)\n\ndef f(\n\nclass B:\n    pass\n<<<<<<< x\nprint(3)\n"
+    made = parse_python(text)
+    assert [(t["Name"], t["Line"], [m["Name"] for m in t["Methods"]][:1]) for t in made["types"]] == [("A", 3, ["good"]), ("B", 15, [])]
+    assert "last" in [m["Name"] for t in made["types"] for m in t["Methods"]] and [s["Line"] for s in made["statements"] if s["Kind"] == "call"] == [5, 11, 18]
+    assert parse_python("")["types"] == [] and parse_python("((((")["types"] == []
+
+
+def test_excluded_folders_whatever_their_case(spark, tmp_path):
+    from colligo.sources import filesystem
+
+    for folder in ("src/deep/deeper", "Packages/x", "TESTRESULTS", "src/BUILD", ".next", "venv/lib"):
+        (tmp_path / folder).mkdir(parents=True)
+        (tmp_path / folder / "a.txt").write_text("x")
+    found = filesystem.source(spark, str(tmp_path), ["Folders", "DiskFiles"])
+    assert sorted(r[0] for r in found["Folders"].rows("Path").collect()) == ["src", "src/deep", "src/deep/deeper", "venv", "venv/lib"]
+    assert sorted(tuple(r) for r in found["DiskFiles"].rows("Path", "Depth").collect()) == [("src/deep/deeper/a.txt", 3), ("venv/lib/a.txt", 2)]
+
+
+def test_languages_by_extension(spark):
+    from pyspark.sql import functions as F
+
+    from colligo.sources.text import language_of
+
+    df = spark.createDataFrame([("x.sln",), ("a/.editorconfig",), ("a\\\\b.MD",), ("noext",)], "p string")
+    assert [r[0] for r in df.select(language_of(F.col("p"))).collect()] == ["text", "editorconfig", "markdown", None]
