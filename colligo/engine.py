@@ -5,11 +5,13 @@ from __future__ import annotations
 import json
 import logging
 import re
+import uuid
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from pathlib import Path
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,20 +63,25 @@ class Assertion:
 @dataclass
 class Result:
     printed: list[Printed] = field(default_factory=list)
-    files: list[SavedFile] = field(default_factory=list)
+    saved: list[Collection] = field(default_factory=list)
     assertions: list[Assertion] = field(default_factory=list)
     warnings: list[str] = field(default_factory=list)
 
     def lines(self) -> list[str]:
         return [line for p in self.printed for line in p.lines()]
 
+    @property
+    def files(self) -> Iterator[SavedFile]:
+        """The files to be saved, one by one; ``Engine.write_files`` writes them without a way over the driver."""
+        return (SavedFile(r[0], r[1]) for c in self.saved for r in c.sorted_rows().toLocalIterator())
+
     def as_json(self) -> str:
         return json.dumps([{"message": line} for line in self.lines()], ensure_ascii=False)
 
     @property
     def exit_code(self) -> int:
         """0: nothing to say, 1: output or a failed assertion."""
-        return 1 if any(not a.passed for a in self.assertions) or any(True for p in self.printed for _ in p.lines()) else 0
+        return 1 if any(not a.passed for a in self.assertions) or any(not p.messages.df.isEmpty() for p in self.printed) else 0
 
 
 class Engine:
@@ -218,7 +225,7 @@ class Engine:
                 raise RuleError(f"no command {', '.join(unknown)}; there are {', '.join(self.commands) or 'none'}")
             for n in names:
                 self._command(self.commands[n], out, explicit=True)
-        if not any(True for p in out.printed for _ in p.lines()) and not out.files and not out.assertions:
+        if not out.saved and not out.assertions and all(p.messages.df.isEmpty() for p in out.printed):
             self._warn_empty(out)
         return out
 
@@ -363,7 +370,7 @@ class Engine:
         scope = Scope.of_collection(c)
         if kind == "SAVE":
             if explicit:
-                out.files += self._save(c, scope, args)
+                out.saved.append(self._save(c, scope, args))
             return
         if kind == "DEBUG":
             if self.diagnostics:
@@ -399,29 +406,40 @@ class Engine:
         elif name == "console.WriteLine":
             for row in messages.sorted_rows().toLocalIterator():
                 print(row[0])
-        elif name == "file.Write":
+        elif name == "file.Write" and (sink.args[0].endswith("/") or Path(sink.args[0]).is_dir()):  # a folder takes a part of each task
+            messages.sorted_rows().write.mode("append").text(sink.args[0])
+        elif name == "file.Write":  # one file is one stream of lines: they pass the driver, a part at a time
             with open(sink.args[0], "a", encoding="utf-8") as f:
                 f.writelines(row[0] + "\n" for row in messages.sorted_rows().toLocalIterator())
         else:
             raise RuleError(f"no sink {name}")
 
-    def _save(self, c: Collection, scope: Scope, args: tuple[Any, ...]) -> list[SavedFile]:
-        """Lines grouped by path, each path a file's text; paths stay inside the root."""
+    def _save(self, c: Collection, scope: Scope, args: tuple[Any, ...]) -> Collection:
+        """Lines grouped by path, each path a file's ``text``; paths stay inside the root."""
         path, line = self.planner.template(args[0].value, scope), self.planner.template(args[1].value, scope)
         pairs = c.project(V.Val(F.struct(path.col.alias("path"), line.col.alias("line")), K.record([("path", K.STRING), ("line", K.STRING)])))
+        outside = pairs.df.where(F.regexp_replace("path", r"\\", "/").rlike(r"^/|^[A-Za-z]:|(^|/)\.\.(/|$)")).select("path").first()
+        if outside is not None:
+            raise RuleError(f"SAVE writes inside the root only, not to {outside[0]}")
         texts = pairs.group_by("path").select_record(path="Items.First.path", text="Items.Text('{line}')")
-        out = [SavedFile(r["path"], r["text"] + "\n") for r in texts.sorted_rows().toLocalIterator()]
-        for f in out:
-            if Path(f.path).is_absolute() or ".." in Path(f.path.replace("\\", "/")).parts:
-                raise RuleError(f"SAVE writes inside the root only, not to {f.path}")
-        return out
+        return texts.with_df(texts.df.withColumn("text", F.concat("text", F.lit("\n"))))
 
     @staticmethod
     def write_files(result: Result, root: str) -> None:
-        for f in result.files:
-            target = Path(root, f.path)
-            target.parent.mkdir(parents=True, exist_ok=True)
-            target.write_text(f.text, encoding="utf-8")
+        """Each file written by the task that holds its text, below a folder that all executors share. Files are written
+        beside their place and moved there, so a task that runs twice does no harm."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    target = Path(root, path)
+                    target.parent.mkdir(parents=True, exist_ok=True)
+                    beside = target.with_name(f".{target.name}.{uuid.uuid4().hex}")
+                    beside.write_text(text, encoding="utf-8")
+                    beside.replace(target)
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["written"])
+
+        for c in result.saved:
+            c.rows("path", "text").mapInArrow(run, "written bigint").agg(F.sum("written")).collect()
 
     def _assert(self, kind: str, args: tuple[Any, ...], command: str | None) -> Assertion:
         value = self.planner.evaluate(args[0], Scope.empty())

@@ -403,8 +403,8 @@ class Planner:
                 return s.value(self.frame(scope))
         if name in self.program.predicates or name in self.program.functions:
             item = next(scope.rows(), None)
-            if item is None:
-                return Closure(name)
+            if item is None:  # outside of any row, a predicate over a collection's name is that subset
+                return self.let(name) if name in self.program.lets else Closure(name)
             return self.apply(name, [], scope, item=True)
         if name in self.program.lets:
             return self.let(name)
@@ -447,9 +447,10 @@ class Planner:
     def let(self, name: str) -> Any:
         if name in self.planned:
             return self.planned[name]
-        if name in self.planning:
-            raise RuleTypeError("circular reference: " + " -> ".join([*self.planning[self.planning.index(name) :], name]))
-        self.planning.append(name)
+        step = f"{name} as a set" if name in self.program.predicates else name
+        if step in self.planning:
+            raise RuleTypeError("circular reference: " + " -> ".join([*self.planning[self.planning.index(step) :], step]))
+        self.planning.append(step)
         try:
             self.planned[name] = self.evaluate(self.program.lets[name], Scope.empty())
         finally:
@@ -799,7 +800,7 @@ class Planner:
             item = inner.value(inner.frame)
             out = self.apply(name, [item, *self.template_args(args, inner)], inner, item=False)
             return c.project(self.as_value(out, inner))
-        if name in self.program.lets:  # a closure held by a let
+        if name in self.program.lets and name not in self.program.predicates:  # a closure held by a let
             held = self.let(name)
             if isinstance(held, Closure):
                 return c.project(self.as_value(self.apply(held.name, [*held.bound, inner.value(inner.frame)], inner, item=False), inner))

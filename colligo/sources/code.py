@@ -31,7 +31,7 @@ _METHOD = f"struct<Name:string,Modifiers:bigint,ReturnType:{_REF},Parameters:arr
 _FIELD = f"struct<Name:string,Type:{_REF},Modifiers:bigint,Line:bigint,HasGetter:boolean,HasSetter:boolean,Documented:boolean>"
 _TYPE = f"struct<Name:string,Kind:string,Modifiers:bigint,BaseTypes:array<string>,Constructors:array<{_METHOD}>,Methods:array<{_METHOD}>,Fields:array<{_FIELD}>,Properties:array<{_FIELD}>,Events:array<{_FIELD}>,EnumValues:array<string>,Decorators:array<string>,NestedTypes:array<string>,Parent:string,Line:bigint,Documented:boolean>"
 _STATEMENT = "struct<Id:bigint,ParentId:bigint,Kind:string,Keywords:array<string>,TypeName:string,MemberName:string,Arguments:array<string>,Line:bigint,InMethod:boolean,Method:string,Rethrows:boolean,Generic:boolean,ErrorHandler:boolean,Condition:string,Expression:string,Ancestors:array<struct<Kind:string,Condition:string>>>"
-PARSED = f"types array<{_TYPE}>, statements array<{_STATEMENT}>"
+PARSED = {"types": f"types array<{_TYPE}>", "statements": f"statements array<{_STATEMENT}>"}
 
 
 def _ref(text: str | None) -> dict | None:
@@ -94,7 +94,7 @@ def _python_body(text: str) -> list[ast.stmt]:
     return body
 
 
-def parse_python(text: str) -> dict:
+def parse_python(text: str, bodies: bool = True) -> dict:
     """By Python's own grammar; of a file that does not parse, what of it does."""
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
@@ -189,7 +189,8 @@ def parse_python(text: str) -> dict:
     for n in tree.body:
         if isinstance(n, ast.ClassDef):
             cls(n, None)
-    visit(tree.body, [], None)
+    if bodies:
+        visit(tree.body, [], None)
     return {"types": types, "statements": statements}
 
 
@@ -197,15 +198,27 @@ def parse_python(text: str) -> dict:
 _SKIP = re.compile(r"(?P<doc>///[^\n]*)|//[^\n]*|/\*.*?\*/|(?P<text>\$?@?\"\"\"[\s\S]*?\"\"\"|\$?@\"(?:[^\"]|\"\")*\"|@?\$?\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)", re.S)
 
 
-def _blank(text: str) -> str:
-    """The text with comments and the insides of literals blanked, so that braces and words are code; offsets stay."""
+#: A pattern between slashes: where an operand may stand, so that a division is none.
+_JS_SKIP = re.compile(_SKIP.pattern + r"|(?P<before>[=(,:\[!&|?{};+]\s*|\breturn\s+)(?P<pattern>/(?![/*])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/)", re.S)
+
+
+def _blank(text: str, patterns: bool = False) -> str:
+    """The text with comments and the insides of literals blanked, so that braces and words are code; offsets stay.
+    ``patterns``: those between slashes are literals as well."""
     def cover(m: re.Match) -> str:
         body = m[0]
         if m.lastgroup == "text":
             return body[0] + re.sub(r"[^\n]", "_", body[1:-1]) + body[-1] if len(body) > 1 else body
+        if m.lastgroup == "pattern":
+            return m["before"] + '"' + "_" * (len(m["pattern"]) - 2) + '"'
         return re.sub(r"[^\n]", " ", body)
 
-    return _SKIP.sub(cover, text)
+    return (_JS_SKIP if patterns else _SKIP).sub(cover, text)
+
+
+def _without_mark(text: str) -> str:
+    """A byte order mark as a blank, so that offsets stay."""
+    return " " + text[1:] if text.startswith("﻿") else text
 
 
 def _close(code: str, i: int, pair: str = "{}") -> int:
@@ -263,7 +276,8 @@ def _parameters(text: str) -> list[dict]:
     return out
 
 
-def parse_csharp(text: str) -> dict:
+def parse_csharp(text: str, bodies: bool = True) -> dict:
+    text = _without_mark(text)
     code = _blank(text)
     starts = [0, *(m.end() for m in re.finditer("\n", text))]
     from bisect import bisect_right
@@ -272,7 +286,7 @@ def parse_csharp(text: str) -> dict:
     documented = lambda i: "///" in text[max(0, text.rfind("\n", 0, max(0, text.rfind("\n", 0, i))) ) : i]
     types: list[dict] = []
     statements: list[dict] = []
-    bodies: list[tuple[str, int, int]] = []
+    spans: list[tuple[str, int, int]] = []
 
     def scan(begin: int, end: int, parent: str | None) -> list[str]:
         names, i = [], begin
@@ -331,12 +345,12 @@ def parse_csharp(text: str) -> dict:
                 (row["Constructors"] if not m["type"] else row["Methods"]).append(method)
                 if w[1] == "{":
                     close = _close(code, w.end() - 1)
-                    bodies.append((method["Name"], w.end(), close))
+                    spans.append((method["Name"], w.end(), close))
                     i = close + 1
                 elif w[1] == "=>":
                     close = code.find(";", w.end(), end)
                     close = end if close < 0 else close
-                    bodies.append((method["Name"], w.end(), close + 1))
+                    spans.append((method["Name"], w.end(), close + 1))
                     i = close + 1
                 else:
                     i = w.end()
@@ -364,7 +378,7 @@ def parse_csharp(text: str) -> dict:
         _statement(statements, [], None, Kind="using", TypeName=m[1], Line=line(m.start(1)), Expression=m[1])
     for m in re.finditer(r"(?m)^\s*\[assembly:\s*(\w+?)(?:Attribute)?\s*(?:\(([^\n]*)\))?\s*\]", text):
         _statement(statements, [], None, Kind="attribute", TypeName=m[1], Arguments=[m[2][a:b].strip().strip('"') for a, b in _split(m[2] or "")], Line=line(m.start(1)), Expression=m[0].strip())
-    for name, a, b in sorted(bodies, key=lambda x: x[1]):
+    for name, a, b in () if not bodies else sorted(spans, key=lambda x: x[1]):
         _block(text, code, a, b, [], name, statements, line, "csharp")
     return {"types": types, "statements": statements}
 
@@ -548,8 +562,9 @@ _JS_CLASS = re.compile(r"(?P<export>export\s+(?:default\s+)?)?(?:abstract\s+)?cl
 _JS_METHOD = re.compile(r"(?P<mods>(?:(?:static|async|public|private|protected|override|readonly|get|set)\s+)*)\*?\s*(?P<name>#?[\w$]+)\s*(?:<[^(]*>)?\((?P<params>[^{}]*?)\)\s*(?::\s*(?P<ret>[^{;]+?))?\s*\{")
 
 
-def parse_javascript(text: str) -> dict:
-    code = _blank(text)
+def parse_javascript(text: str, bodies: bool = True) -> dict:
+    text = _without_mark(text)
+    code = _blank(text, patterns=True)
     starts = [0, *(m.end() for m in re.finditer("\n", text))]
     from bisect import bisect_right
 
@@ -591,7 +606,7 @@ def parse_javascript(text: str) -> dict:
             pieces.append((at, a, None))
         at = max(at, b)
     pieces.append((at, len(code), None))
-    for a, b, name in sorted(pieces, key=lambda p: (p[0], p[1])):
+    for a, b, name in () if not bodies else sorted(pieces, key=lambda p: (p[0], p[1])):
         _block(text, code, a, b, [], name, statements, line, "javascript")
     return {"types": types, "statements": statements}
 
@@ -599,24 +614,26 @@ def parse_javascript(text: str) -> dict:
 PARSERS = {"csharp": parse_csharp, "python": parse_python, "javascript": parse_javascript, "typescript": parse_javascript}
 
 
-def parsed_files(files: DataFrame, key: str = "file_id", path: str = "path", text: str = "raw_text") -> DataFrame:
-    """``<key>, path, language, raw_text, types, statements`` of files in a language with a parser; one pass in batches."""
+def parsed_files(files: DataFrame, key: str = "file_id", path: str = "path", text: str = "raw_text", parts: Sequence[str] = ("types", "statements")) -> DataFrame:
+    """``<key>, path, language`` and the wanted ``parts`` of files in a language with a parser; one pass in batches. Without
+    ``statements`` the bodies of methods are not read, and nothing but what is asked for comes back from Python."""
     kind = files.schema[key].dataType
-    fields = to_arrow_schema(StructType.fromDDL(PARSED))
+    wanted = ", ".join(PARSED[p] for p in parts)
+    fields, bodies = to_arrow_schema(StructType.fromDDL(wanted)), "statements" in parts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for language, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 try:
-                    out.append(PARSERS[language](t) if t else {"types": [], "statements": []})
+                    out.append(PARSERS[language](t, bodies) if t else {"types": [], "statements": []})
                 except RecursionError:
                     out.append({"types": [], "statements": []})
             arrays = [pa.array([o[f.name] for o in out], f.type) for f in fields]
-            yield pa.RecordBatch.from_arrays([*b.columns, *arrays], names=[*b.schema.names, "types", "statements"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *arrays], names=[*b.schema.names[:3], *parts])
 
     named = files.select(key, F.col(path).alias("path"), language_of(F.col(path)).alias("language"), F.col(text).alias("raw_text")).where(F.col("language").isin(list(PARSERS)))
-    return spread(named, files).mapInArrow(run, f"`{key}` {kind.simpleString()}, path string, language string, raw_text string, {PARSED}")
+    return spread(named, files).mapInArrow(run, f"`{key}` {kind.simpleString()}, path string, language string, {wanted}")
 
 
 def _file() -> Column:
@@ -704,8 +721,9 @@ def source_for(language: str):
         from colligo.sources.text import files_of
 
         texts = read_texts(spark, root, extensions[language])
-        parsed = parsed_files(texts.withColumnsRenamed({"Path": "path", "Text": "raw_text"}).withColumn("file_id", F.col("path")))
-        make = {"Files": lambda: files_of(texts), "Types": lambda: types(parsed), "Statements": lambda: statements(parsed), "Members": lambda: members(parsed), "Api": lambda: api(parsed), "Regions": lambda: regions_of(texts, "Text", ["Path"])}
+        named = texts.withColumnsRenamed({"Path": "path", "Text": "raw_text"}).withColumn("file_id", F.col("path"))
+        parsed = lambda part: parsed_files(named, parts=[part])
+        make = {"Files": lambda: files_of(texts), "Types": lambda: types(parsed("types")), "Statements": lambda: statements(parsed("statements")), "Members": lambda: members(parsed("types")), "Api": lambda: api(parsed("types")), "Regions": lambda: regions_of(texts, "Text", ["Path"])}
         return {n: make[n]() for n in names if n in make}
 
     return source
