@@ -117,5 +117,12 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     p6_packed, p6_fill, p7_usage, p7_shares, p7_order, p8_found, p8_scores, p8_rates,
 )}
 
-#: None of these can be said in SQL: they are tested against brute force, exact round trips and held-out accuracy.
-ORACLE: dict[str, str] = {}
+#: The others need a tokenizer, a parser or a trained model, which SQL has not: they are tested against brute force, exact
+#: round trips and held-out accuracy.
+ORACLE: dict[str, str] = {
+    "p2_found": """
+WITH t AS (SELECT DISTINCT block_id, replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS c FROM fence_blocks WHERE block_id IS NOT NULL AND content IS NOT NULL),
+w AS (SELECT block_id, c, i, md5(substr(c, i, 160)) AS h FROM t, LATERAL (SELECT unnest(range(1, length(c) - 158)) AS i) WHERE length(c) >= 160),
+s AS (SELECT block_id, c, i, lead(i) OVER (PARTITION BY block_id, c ORDER BY i) AS following FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(DISTINCT block_id) > 1))
+SELECT block_id, max(n) AS shared_chars FROM (SELECT block_id, CAST(sum(least(160, coalesce(following - i, 160))) AS BIGINT) AS n FROM s GROUP BY block_id, c) GROUP BY block_id""",
+}
