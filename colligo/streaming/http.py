@@ -1,27 +1,33 @@
 """HTTP requests as a stream, with responses that go back to the request they answer.
 
-A server on the driver takes requests into a queue; a micro-batch reads what has come; the sink ``http.Send`` answers each
-request by its ``Id``. A request that no batch answers within ``timeout`` seconds gets 504.
+A server on the driver takes requests into a queue; a micro-batch reads what has come, ``REQUESTS`` at most; the sink
+``http.Send`` answers each request by its ``Id``. A request that no batch answers within ``timeout`` seconds gets 504. The
+reader runs beside the driver and hands the rows to the tasks; requests of a batch that has been committed are dropped.
 """
 
 from __future__ import annotations
 
 import itertools
+import json
 import threading
+from collections import deque
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
+#: Requests of one read.
+REQUESTS = 10_000
 SCHEMA = "Id bigint, Method string, Path string, Query string, ContentType string, Body string"
 
 
 class RequestServer:
-    """Requests in the order they came, and the answers they wait for."""
+    """Requests in the order they came, and the answers they wait for. A request's number is its place in that order."""
 
-    def __init__(self, port: int = 0, timeout: float = 30.0):
-        self.requests: list[tuple] = []
+    def __init__(self, port: int = 0, timeout: float = 30.0, host: str = "127.0.0.1"):
+        self.requests: deque[tuple] = deque()
+        self.dropped = 0
         self.waiting: dict[int, tuple[threading.Event, list]] = {}
         self.lock = threading.Lock()
         ids = itertools.count(1)
@@ -52,10 +58,23 @@ class RequestServer:
             def log_message(self, *args) -> None:
                 pass
 
-        self.server = ThreadingHTTPServer(("127.0.0.1", port), Handler)
+        self.server = ThreadingHTTPServer((host, port), Handler)
         self.port = self.server.server_address[1]
         threading.Thread(target=self.server.serve_forever, daemon=True).start()
 
+    def taken(self, since: int, most: int = REQUESTS) -> list[tuple]:
+        """Requests from number ``since`` on."""
+        with self.lock:
+            begin = max(0, since - self.dropped)
+            return list(itertools.islice(self.requests, begin, begin + most))
+
+    def drop(self, before: int) -> None:
+        """Forgets the requests with numbers below ``before``."""
+        with self.lock:
+            while self.requests and self.dropped < before:
+                self.requests.popleft()
+                self.dropped += 1
+
     def respond(self, request: int, status: int, body: str | None, content_type: str | None = None) -> None:
         found = self.waiting.get(request)
         if found:
@@ -73,29 +92,30 @@ class RequestServer:
         self.server.server_close()
 
 
-_servers: dict[int, RequestServer] = {}
-
-
-def _fetch(port: int, since: int) -> list[tuple]:
-    """Requests from ``since`` on, asked of the server by a control request, so that any process can read them."""
+def _ask(port: int, method: str, number: int) -> bytes:
     from http.client import HTTPConnection
-    import json
 
     c = HTTPConnection("127.0.0.1", port, timeout=10)
-    c.request("GET", f"/?since={since}")
-    return [tuple(r) for r in json.loads(c.getresponse().read())]
+    c.request(method, f"/?number={number}")
+    return c.getresponse().read()
 
 
 class _Control:
-    """A second port that lists requests for the reader, which runs in a process of its own."""
+    """A second port that lists and drops requests for the reader, which runs in a process of its own beside the driver."""
 
     def __init__(self, server: RequestServer):
-        import json
-
         class Handler(BaseHTTPRequestHandler):
             def do_GET(self) -> None:  # noqa: N802
-                since = int(urlsplit(self.path).query.partition("=")[2] or 0)
-                data = json.dumps(server.requests[since:]).encode()
+                self.reply(json.dumps(server.taken(self.number())).encode())
+
+            def do_DELETE(self) -> None:  # noqa: N802
+                server.drop(self.number())
+                self.reply(b"")
+
+            def number(self) -> int:
+                return int(urlsplit(self.path).query.partition("=")[2] or 0)
+
+            def reply(self, data: bytes) -> None:
                 self.send_response(200)
                 self.send_header("Content-Length", str(len(data)))
                 self.end_headers()
@@ -117,14 +137,17 @@ class _Reader(SimpleDataSourceStreamReader):
         return {"n": 0}
 
     def read(self, start):
-        rows = _fetch(self.port, start["n"])
+        rows = self.fetch(start["n"])
         return iter(rows), {"n": start["n"] + len(rows)}
 
     def readBetweenOffsets(self, start, end):  # noqa: N802
-        return iter(_fetch(self.port, start["n"])[: end["n"] - start["n"]])
+        return iter(self.fetch(start["n"])[: end["n"] - start["n"]])
+
+    def fetch(self, since: int) -> list[tuple]:
+        return [tuple(r) for r in json.loads(_ask(self.port, "GET", since))]
 
     def commit(self, end):
-        pass
+        _ask(self.port, "DELETE", end["n"])
 
 
 class HttpSource(DataSource):

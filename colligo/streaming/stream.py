@@ -74,7 +74,12 @@ def _print(df: DataFrame, _: int, *args: Any) -> None:
         print(row[0])
 
 
-def _append(df: DataFrame, _: int, path: str) -> None:
+def _append(df: DataFrame, batch: int, path: str) -> None:
+    """Lines to a file, which pass the driver a part at a time; to a folder (``…/``), as text files that the tasks write, those of
+    one batch in a folder of their own, so that a batch that is run again does not write twice."""
+    if path.endswith("/"):
+        df.select(df[0].cast("string").alias("value")).write.mode("overwrite").text(f"{path}batch={batch}")
+        return
     with open(path, "a", encoding="utf-8") as f:
         f.writelines(f"{row[0]}\n" for row in df.toLocalIterator())
 

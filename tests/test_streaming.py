@@ -57,3 +57,25 @@ foreach http.Receive => handle => http.Send
     server.close()
     time.sleep(0.1)
     assert answers == {"/": (200, "home"), "/health": (200, "ok"), "/x": (404, "nothing at /x")}
+
+
+def test_requests_are_dropped_once_committed():
+    server = RequestServer()
+    server.requests.extend((i, "GET", "/", "", None, "") for i in range(5))
+    assert [r[0] for r in server.taken(2, 2)] == [2, 3]
+    server.drop(3)
+    assert len(server.requests) == 2 and [r[0] for r in server.taken(3)] == [3, 4] and server.taken(5) == []
+    server.drop(3)
+    assert server.dropped == 3
+    server.close()
+
+
+def test_stream_into_a_folder(spark, sf, tmp_path):
+    stream = parquet_stream(spark, f"{sf}/events.parquet")
+    cat = Catalog(spark)
+    cat.register("live", "Events", Collection(stream, Collection.of(stream, "Event", []).ty))
+    e = Engine(spark, cat).load(f"foreach live.Events.Where(event_type == 'error') => '{{event_id}}' => file.Write('{tmp_path}/out/')\n")
+    for q in run_stream(e, available_now=True):
+        q.awaitTermination()
+    want = spark.read.parquet(f"{sf}/events.parquet").where("event_type = 'error'").count()
+    assert spark.read.text(f"{tmp_path}/out/batch=*").count() == want
