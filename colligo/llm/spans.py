@@ -5,10 +5,11 @@ Method: super-k-mer partitioning. Every window of ``span`` code points of a text
 of that minimiser; equal windows have equal minimisers and so meet in one bucket, where sorting counts them exactly.
 
 1. equal texts become one row (partial aggregation), with the least and the greatest record id that holds them;
-2. texts are cut into super-k-mers; equal ones become one row, again with least and greatest id;
-3. the distinct strings of a bucket are sorted by minimiser and streamed; windows of a minimiser with several strings are
-   sorted and counted. A minimiser with more than ``HOT`` distinct strings never enters one task: its windows become rows
-   and are counted by partial aggregation over all tasks;
+2. texts are cut into super-k-mers, once; they are written, since they are counted, bucketed and asked for their places;
+3. the strings of a bucket are sorted by minimiser and streamed; equal ones are merged, and windows of a minimiser with
+   several strings are sorted and counted. A minimiser with more than ``HOT`` strings never enters one task: its equal strings
+   are merged by partial aggregation first, and where more than ``HOT`` different ones remain, their windows become rows and
+   are counted by partial aggregation over all tasks;
 4. shared windows go back, as ranges, to the texts by the hash of their super-k-mer, and ranges are merged per text. A
    super-k-mer of more than ``HOT_TEXTS`` texts meets them without a shuffle, its ranges sent to every task, or, where such
    ranges are many, salted over ``SALTS`` tasks.
@@ -112,37 +113,29 @@ def super_kmers(texts: list[str], span: int, m: int = MINIMISER) -> Iterator[tup
             size += len(text)
 
 
-def _cutter(span: int, with_text: bool):
+_PIECES = pa.schema([("text_id", pa.binary()), ("start", pa.int32()), ("minimiser", pa.int64()), ("piece_id", pa.binary()), ("piece", pa.string()), ("low", pa.int64()), ("high", pa.int64())])
+
+
+def _cutter(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             low, high = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            out: tuple[list, ...] = ([], [], [], [], [])
+            out: list[list] = [[] for _ in _PIECES]
             size = 0
             for i, start, length, minimiser in super_kmers(texts, span):
                 piece = texts[i][start : start + length]
-                digest = xxhash.xxh3_128_digest(piece.encode("utf-8", "surrogatepass"))
-                if with_text:
-                    row = (minimiser, digest, piece, low[i], high[i])
-                else:
-                    row = (ids[i], start, digest)
-                for column, value in zip(out, row):
+                for column, value in zip(out, (ids[i], start, minimiser, xxhash.xxh3_128_digest(piece.encode("utf-8", "surrogatepass")), piece, low[i], high[i])):
                     column.append(value)
                 size += length
                 if size > 4_000_000:
-                    yield _batch(out, with_text)
-                    out, size = ([], [], [], [], []), 0
-            yield _batch(out, with_text)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _PIECES)], schema=_PIECES)
+                    out, size = [[] for _ in _PIECES], 0
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _PIECES)], schema=_PIECES)
 
     return run
 
 
-def _batch(out: tuple[list, ...], with_text: bool) -> pa.RecordBatch:
-    if with_text:
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.string()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.int64())], names=["minimiser", "piece_id", "piece", "low", "high"])
-    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], names=["text_id", "start", "piece_id"])
-
-
 def _shared_ranges(pieces: list[str], low: list[int], high: list[int], span: int) -> list[list[tuple[int, int]]]:
     """For each distinct piece of one minimiser, the ranges ``[first, last]`` of its windows that two records hold."""
     windows = sorted((piece[k : k + span], i, k) for i, piece in enumerate(pieces) for k in range(len(piece) - span + 1))
@@ -171,7 +164,7 @@ def _runs(starts: list[int]) -> list[tuple[int, int]]:
 
 
 def _counter(span: int):
-    """Counts the windows of a partition that is sorted by minimiser; holds the strings of one minimiser at a time."""
+    """Counts the windows of a partition that is sorted by minimiser and string; holds the strings of one minimiser at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, bytes, str, int, int]] = []
         out: list[tuple[bytes, list[tuple[int, int]]]] = []
@@ -192,7 +185,11 @@ def _counter(span: int):
             for row in zip(*columns):
                 if held and held[0][0] != row[0]:
                     close()
-                held.append(row)
+                if held and held[-1][1] == row[1]:
+                    _, digest, piece, low, high = held[-1]
+                    held[-1] = (row[0], digest, piece, min(low, row[3]), max(high, row[4]))
+                else:
+                    held.append(row)
             yield _ranges(out)
             out.clear()
         close()
@@ -209,30 +206,41 @@ def _ranges(out: list[tuple[bytes, list[tuple[int, int]]]]) -> pa.RecordBatch:
 _RANGES = "piece_id binary, first int, last int"
 
 
-def shared_ranges(pieces: DataFrame, span: int, hot: int = HOT) -> DataFrame:
-    """``piece_id, first, last``: runs of window starts within a distinct super-k-mer that several records hold."""
+_COLUMNS = ["minimiser", "piece_id", "piece", "low", "high"]
+
+
+def _listed(rows: DataFrame) -> tuple[DataFrame, int]:
+    """A list of hot keys, written and counted: at most one for so many rows; sent to every task only up to a bound."""
+    rows = cut(rows)
+    number = rows.count()
+    return F.broadcast(rows) if number <= BROADCAST_HOT else rows, number
+
+
+def shared_ranges(pieces: DataFrame, span: int, hot: int = HOT, hot_texts: int = HOT_TEXTS) -> tuple[DataFrame, DataFrame | None, int]:
+    """``piece_id, first, last``: runs of window starts within a super-k-mer that several records hold; and the list and number of
+    super-k-mers (``piece_id``) in more than ``hot_texts`` texts."""
     buckets = parallelism(pieces.sparkSession)
-    # the number of strings tells hot minimisers; those of one record alone share nothing, which the counter sees at once
-    per = pieces.groupBy("minimiser").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
-    large = cut(per.where(F.col("n") > hot).select("minimiser", "low", "high"))
-    # there are at most 1/hot as many of them as strings; the list is counted before it goes to every task
-    number = large.count()
-    listed = F.broadcast(large) if number <= BROADCAST_HOT else large
-    tame = pieces.join(listed.select("minimiser"), "minimiser", "left_anti") if number else pieces
-    counted = tame.select("minimiser", "piece_id", "piece", "low", "high").repartition(buckets, "minimiser").sortWithinPartitions("minimiser").mapInArrow(_counter(span), _RANGES)
-    if not number:
-        return counted
-    warm = listed.where("low <> high").select("minimiser")
-    # the rest, in rows: one window each, so that no task holds a hot minimiser
+    listed, number = _listed(pieces.groupBy("minimiser").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("minimiser"))
+    calm, windows, widely, wide = pieces.select(_COLUMNS), None, None, 0
+    if number:
+        merged = cut(pieces.join(listed, "minimiser", "left_semi").groupBy("minimiser", "piece_id", "piece").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count(F.lit(1)).alias("uses")))
+        still, _ = _listed(merged.groupBy("minimiser").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("least"), F.max("high").alias("most")).where(F.col("n") > hot).select("minimiser", "least", "most"))
+        calm = pieces.join(listed, "minimiser", "left_anti").select(_COLUMNS).unionAll(merged.join(still, "minimiser", "left_anti").select(_COLUMNS))
+        windows = merged.join(still.where("least <> most").select("minimiser"), "minimiser", "left_semi")  # else of one record alone
+        widely, wide = _listed(merged.where(F.col("uses") > hot_texts).select("piece_id"))
+    counted = calm.repartition(buckets, "minimiser").sortWithinPartitions("minimiser", "piece_id").mapInArrow(_counter(span), _RANGES)
+    if windows is None:
+        return counted, widely, wide
+    # one window each, so that no task holds a hot minimiser
     at = F.explode(F.sequence(F.lit(0), F.length("piece") - span)).alias("k")
-    rows = pieces.join(warm, "minimiser", "left_semi").select("piece_id", "piece", "low", "high", at).select("piece_id", "k", F.xxhash64(F.substring("piece", F.col("k") + 1, span)).alias("h1"), F.md5(F.substring("piece", F.col("k") + 1, span).cast("binary")).alias("h2"), "low", "high")
+    rows = windows.select("piece_id", "piece", "low", "high", at).select("piece_id", "k", F.xxhash64(F.substring("piece", F.col("k") + 1, span)).alias("h1"), F.md5(F.substring("piece", F.col("k") + 1, span).cast("binary")).alias("h2"), "low", "high")
     several = rows.groupBy("h1", "h2").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least <> most").select("h1", "h2")
-    spread = rows.join(several, ["h1", "h2"], "left_semi").select("piece_id", F.col("k").alias("first"), F.col("k").alias("last"))
-    return counted.unionAll(spread)
+    found = rows.join(several, ["h1", "h2"], "left_semi").select("piece_id", F.col("k").alias("first"), F.col("k").alias("last"))
+    return counted.unionAll(found), widely, wide
 
 
-def _meet(single: DataFrame, ranges: DataFrame, hot: DataFrame, number: int, salts: int = SALTS) -> DataFrame:
-    """``text_id, start, first, last``: the super-k-mers of the texts with their shared ranges. ``hot`` lists the ``number``
+def _meet(single: DataFrame, ranges: DataFrame, listed: DataFrame | None, number: int, salts: int = SALTS) -> DataFrame:
+    """``text_id, start, first, last``: the super-k-mers of the texts with their shared ranges. ``listed`` are the ``number``
     super-k-mers (``piece_id``) of very many texts; a super-k-mer has at most as many ranges as windows."""
     columns = ["text_id", "start", "first", "last"]
     if not number:
@@ -240,7 +248,7 @@ def _meet(single: DataFrame, ranges: DataFrame, hot: DataFrame, number: int, sal
     if number > BROADCAST_HOT:
         salted = ranges.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         return single.withColumn("salt", F.pmod(F.xxhash64("text_id", "start"), F.lit(salts)).cast("int")).join(salted, ["piece_id", "salt"]).select(columns)
-    listed = F.broadcast(hot)
+    ranges = cut(ranges)
     cold = single.join(listed, "piece_id", "left_anti").join(ranges.join(listed, "piece_id", "left_anti"), "piece_id")
     return single.join(F.broadcast(ranges.join(listed, "piece_id", "left_semi")), "piece_id").select(columns).unionAll(cold.select(columns))
 
@@ -251,14 +259,10 @@ def shared_spans(records: DataFrame, key: str, text: str, span: int = 160, hot:
     text_id = F.unhex(F.md5(F.col("text").cast("binary"))).alias("text_id")
     # equal texts are one: partial aggregation leaves one row of a hot text per task
     texts = cut(clean.groupBy("text").agg(F.min("id").alias("low"), F.max("id").alias("high")).select(text_id, "text", "low", "high"))
-    cut_up = texts.mapInArrow(_cutter(span, True), "minimiser bigint, piece_id binary, piece string, low bigint, high bigint")
-    pieces = cut(cut_up.groupBy("minimiser", "piece_id", "piece").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count(F.lit(1)).alias("uses")))
-    ranges = shared_ranges(pieces.drop("uses"), span, hot)
+    pieces = cut(texts.mapInArrow(_cutter(span), "text_id binary, start int, minimiser bigint, piece_id binary, piece string, low bigint, high bigint"))
+    ranges, widely, wide = shared_ranges(pieces, span, hot, hot_texts)
     # whole copies are shared from end to end; for the others the ranges come back by the hash of the super-k-mer
-    single = texts.where("low = high").mapInArrow(_cutter(span, False), "text_id binary, start int, piece_id binary")
-    widely = pieces.where(F.col("uses") > hot_texts).select("piece_id")
-    number = widely.count()
-    found = _meet(single, cut(ranges) if number else ranges, widely, number)
+    found = _meet(pieces.where("low = high").select("text_id", "start", "piece_id"), ranges, widely, wide)
     spans = found.select("text_id", F.struct((F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + span).alias("b")).alias("r"))
     # a text's ranges are fewer than its characters, and a text is one row as it is
     merged = spans.groupBy("text_id").agg(F.array_sort(F.collect_list("r")).alias("rs")).select("text_id", _covered(F.col("rs")).alias("shared_chars"))

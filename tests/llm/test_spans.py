@@ -43,7 +43,7 @@ def rows_of(seed):
     return out
 
 
-@pytest.mark.parametrize("hot", [4000, 1])
+@pytest.mark.parametrize("hot", [4000, 20, 1])
 def test_against_brute_force(spark, hot):
     rows = rows_of(3)
     df = spark.createDataFrame([(*r, "z") for r in rows], "block_id bigint, content string, shared_chars string").repartition(5)
@@ -57,7 +57,7 @@ def test_super_kmers_of_many_texts(spark, monkeypatch, listed):
     """Sent to every task, and salted."""
     monkeypatch.setattr(spans, "BROADCAST_HOT", listed)
     rows = rows_of(4)
-    got = shared_spans(spark.createDataFrame(rows, "block_id bigint, content string"), "block_id", "content", 25, hot_texts=2)
+    got = shared_spans(spark.createDataFrame(rows, "block_id bigint, content string"), "block_id", "content", 25, hot=3, hot_texts=3)
     assert {r[0]: r[1] for r in got.collect()} == brute(rows, 25)
 
 
