@@ -308,7 +308,7 @@ class Collection:
             return self.with_df(self.df.withColumn("__k", key).withColumn("__n", rank).where("__n = 1").drop("__n", "__k"))
         # a minimum by order keeps one row per key in each task before the shuffle
         names = [*self.columns, *(o.column for o in self.order)]
-        first = F.min_by(F.struct(*(F.col(f"`{n}`").alias(n) for n in names)), F.struct(*(F.col(o.column) for o in self.order))).alias("r")
+        first = _hashed(F.min_by(F.struct(*(F.col(f"`{n}`").alias(n) for n in names)), F.struct(*(F.col(o.column) for o in self.order)))).alias("r")
         picked = self.df.groupBy(key.alias("__k")).agg(first)
         return self.with_df(picked.select(*(F.col("r")[n].alias(n) for n in names)))
 
@@ -355,7 +355,8 @@ class Collection:
         return V.Val(self.scalar(col), ty)
 
     def text(self, template: str, separator: str = "\n") -> V.Val:
-        """All items as text, one template each, in order."""
+        """All items as text, one template each, in order. The text is one value: all its parts stand in one row of one task, so it
+        is for collections whose text one task can hold; ``template`` gives the lines as rows."""
         return self.joined(self._planner().template(template, self._scope()), separator)
 
     def joined(self, value: V.Val, separator: str) -> V.Val:
