@@ -399,7 +399,7 @@ def _simple(text: str, code: str, a: int, b: int, stack: list[dict], method: str
     at = line(a)
     m = re.match(r"(throw|return|yield\s+return)\b\s*", body)
     if m and m[1] == "throw":
-        n = re.match(r"(?:new\s+)?([\w.]+)", body[m.end() :])
+        n = re.match(r"new\s+([\w.]+)", body[m.end() :])  # of a variable that is thrown the type is not written
         inner = body.find("(")
         _statement(out, stack, method, Kind="throw", TypeName=n[1] if n else None, Arguments=_arguments(source, body, inner), Line=at, Expression=source[m.end() :] or None)
         return
@@ -411,6 +411,8 @@ def _simple(text: str, code: str, a: int, b: int, stack: list[dict], method: str
         return
     else:
         start = 0
+        if language == "csharp" and (held := re.match(r"(?:await\s+)?using\s+(?=[\w.<>\[\]?]+\s+@?\w+\s*=)", body)):
+            a, body, source = a + held.end(), body[held.end() :], source[held.end() :]
         d = re.match(r"(?:(const|let|var)\s+([\w$]+|\{[^}]*\}|\[[^\]]*\])|(?:(const)\s+)?((?:[\w.]+(?:<[^=;()]*>)?(?:\[\])*\??))\s+(@?\w+))\s*(?:=(?!=|>)|$)", body) if language == "javascript" else re.match(r"(?:(const)\s+)?(var|dynamic|(?:[\w.]+(?:<[^=;()]*>)?(?:\[[,]*\])*\??))\s+(@?\w+)\s*(?:=(?!=|>)|$)", body)
         if d and d[1 if language == "javascript" else 2] not in ("await", "return", "throw", "new", "goto"):
             word, name = (d[1], d[2]) if language == "javascript" else (d[2], d[3])
@@ -475,7 +477,8 @@ def _block(text: str, code: str, a: int, b: int, stack: list[dict], method: str
             _block(text, code, i + 1, min(close, b), stack, method, out, line, language)
             i = close + 1
             continue
-        h = _HEAD.match(code, i, b)
+        awaited = re.compile(r"await\s+(?=foreach\b|using\s*\()").match(code, i, b) if language == "csharp" else None
+        h = _HEAD.match(code, awaited.end() if awaited else i, b)
         if h and not (h["word"] == "using" and code[h.end() : h.end() + 1] != "("):
             word = re.sub(r"\s+", " ", h["word"])
             j, condition = h.end(), None
@@ -488,8 +491,11 @@ def _block(text: str, code: str, a: int, b: int, stack: list[dict], method: str
                 inner = text[j + 1 : stop].strip()
                 j = stop + 1
             at = line(i)
-            if word in ("if", "else if", "while", "switch"):
+            if word in ("if", "else if", "while"):
                 condition = inner
+            elif word == "for" and language == "csharp":
+                marks = [m.start() for m in re.finditer(";", _blank(inner))]
+                condition = inner[marks[0] + 1 : marks[1]].strip() or None if len(marks) > 1 else None
             row = None
             if word == "else if" and last_if is not None:
                 other = _statement(out, [*stack, last_if], method, Kind="else", Line=at)
@@ -511,7 +517,8 @@ def _block(text: str, code: str, a: int, b: int, stack: list[dict], method: str
                 kind = "foreach" if word == "foreach" or word == "for" and re.search(r"\b(?:of|in)\b", inner) and language == "javascript" else word
                 if kind == "foreach":
                     condition = re.sub(r"^.*?\b(?:in|of)\b\s*", "", inner, flags=re.S)
-                row = _statement(out, outer, method, Kind=kind, Condition=condition, Line=at, Expression=inner if word == "using" else None)
+                held = re.match(r"(?P<type>.+?)\s+(?P<name>@?\w+)\s+in\b", inner, re.S) if word == "foreach" else None
+                row = _statement(out, outer, method, Kind=kind, TypeName=held["type"] if held else None, MemberName=held["name"] if held else None, Condition=condition, Line=at, Expression=inner if word in ("using", "switch") else None)
                 if word == "if":
                     last_if = row
             inside = [*outer, row] if row is not None else outer

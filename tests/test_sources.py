@@ -264,3 +264,26 @@ def test_languages_by_extension(spark):
 
     df = spark.createDataFrame([("x.sln",), ("a/.editorconfig",), ("a\\\\b.MD",), ("noext",)], "p string")
     assert [r[0] for r in df.select(language_of(F.col("p"))).collect()] == ["text", "editorconfig", "markdown", None]
+
+
+def test_csharp_statements_of_all_kinds():
+    from colligo.sources.code import parse_csharp
+
+    text = """class A {
+  void M() {
+    using var held = Open();
+    await foreach (Item one in Stream()) { Use(one); }
+    for (int i = 0; i < 3; i++) Loop(i);
+    for (;;) { break; }
+    switch (mode) { case 1: One(); break; default: throw failed; }
+    await using (var s = Open2()) { s.Read(); }
+    throw new System.Exception("x");
+  }
+}
+"""
+    got = [(s["Line"], s["Kind"], s["TypeName"], s["MemberName"], s["Condition"], s["Expression"]) for s in parse_csharp(text)["statements"]]
+    assert got == [
+        (3, "declaration", None, "held", None, "Open()"), (3, "call", None, "Open", None, "Open()"), (4, "foreach", "Item", "one", "Stream()", None), (4, "call", None, "Use", None, "Use(one)"),
+        (5, "for", None, None, "i < 3", None), (5, "call", None, "Loop", None, "Loop(i)"), (6, "for", None, None, None, None), (7, "switch", None, None, None, "mode"), (7, "call", None, "One", None, "One()"), (7, "throw", None, None, None, "failed"),
+        (8, "using", None, None, None, "var s = Open2()"), (8, "call", "s", "Read", None, "s.Read()"), (9, "throw", "System.Exception", None, None, 'new System.Exception("x")'),
+    ]
