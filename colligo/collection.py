@@ -198,6 +198,10 @@ class Collection:
 
     # filters and projections
     def where(self, predicate: Any) -> Collection:
+        if isinstance(predicate, str) and not self.nested:
+            from colligo.lang.parser import parse_expression
+
+            return self._planner().restricted(self, parse_expression(predicate))
         base, vals = self.values_of(p=predicate)
         return base.with_df(base.df.where(V.condition(vals["p"])))
 

@@ -37,6 +37,10 @@ class UnknownName(LookupError):
     pass
 
 
+class LooksOut(RuleTypeError):
+    """An element of a list is compared with rows of another collection: no expression of its row can say that."""
+
+
 class Scope:
     """What a name may mean: a row of a frame, an element of a list, bound parameters, or nothing."""
 
@@ -129,7 +133,7 @@ class Scope:
         if frame is self.frame:
             return False
         if self.inside_list:
-            raise RuleTypeError("a collection inside a list element cannot look at that element: select it into its own collection first")
+            raise LooksOut("a collection is compared with an element of a list here: this is possible in the terms of a filter (any, none, all joined by &&), or after the list was selected into a collection of its own")
         return True
 
 
@@ -396,8 +400,8 @@ class Planner:
         """The order of resolution: bound parameters, the item by 'item' or its type, predicate, function, let, collection,
         flags, a field of the item, a namespace."""
         found = scope.bound(name)
-        if found is not None:
-            return found[0]
+        if found is not None:  # a parameter that is a row: inside a subquery it is a row outside
+            return found[0].value(self.frame(scope)) if isinstance(found[0], Scope) else found[0]
         for s in scope.rows():
             if name == "item" or s.ty.is_a(name):
                 return s.value(self.frame(scope))
@@ -719,11 +723,44 @@ class Planner:
 
     def filtered(self, c: Collection, node: Node, scope: Scope) -> Collection:
         """``C.Where(p)``, where ``p`` may look at the rows around."""
+        if next(scope.rows(), None) is None and not c.nested:
+            return self.restricted(c, node)
         alone, inner, names = self.isolated(c, scope)
         kept = alone.df.where(condition(self.as_predicate(node, inner)))
         # no look at the schema: outer names are not resolved yet
         return c.with_df(kept.select(*(F.col(a).alias(n) for n, a in names.items()), *(F.col(o.column) for o in c.order)) if names else kept)
 
+    def restricted(self, c: Collection, node: Node) -> Collection:
+        """A filter outside of any row. Of its terms, those that compare elements of a list with another collection are decided
+        on the elements as rows, and come back as semi or anti joins by the content of the row: equal rows fare equally."""
+        scope = Scope.of_collection(c)
+        try:
+            return c.with_df(c.df.where(condition(self.as_predicate(node, scope))))
+        except LooksOut:
+            if isinstance(node, Binary) and node.op == "&&":
+                return self.restricted(self.restricted(c, node.left), node.right)
+            negated = isinstance(node, Not)
+            term = node.operand if negated else node
+            if not isinstance(term, Filter) or term.name not in QUANTIFIERS or not term.args:
+                raise
+        target = self.as_value(self.evaluate(term.target, scope), scope)
+        if target.ty.kind != "list":
+            raise RuleTypeError(f"{term.name} is asked of a list here")
+        keys = [fresh("__k"), fresh("__k")]
+        content = [F.xxhash64(F.lit(k), *(F.col(f"`{n}`") for n in c.columns)) for k in ("a", "b")]
+        x = fresh("__x")
+        rows = c.df.select(*(F.col(f"`{n}`") for n in c.columns), *(h.alias(k) for h, k in zip(content, keys)), F.explode(target.col).alias(x)).where(F.col(x).isNotNull())
+
+        def whole(outer: bool) -> Column:
+            return F.col(x).outer() if outer else F.col(x)
+
+        element = Scope(scope, target.ty.elem, scope.frame, whole, (lambda n, outer: whole(outer)[n]) if target.ty.elem.kind == "record" else None)
+        held = self.as_predicate(term.args[0], element)
+        hits = rows.where(~truthy(held) if term.name == "all" else condition(held)).select(*keys).distinct()
+        kept = (term.name == "any") != (negated != term.negated)
+        df = c.df.withColumns(dict(zip(keys, content))).join(hits, keys, "left_semi" if kept else "left_anti").drop(*keys)
+        return c.with_df(df)
+
     @staticmethod
     def lone(one: Collection, scope: Scope) -> One | Val:
         """The item of a collection of one row at most: a scalar subquery inside rows, else the row itself."""
@@ -968,7 +1005,8 @@ class Planner:
         return boolean(F.coalesce(out & target.col.isNotNull() if target.ty.kind not in ("record", "list") else out, F.lit(False)))
 
     def body(self, node: Node, param: str, target: Val, scope: Scope) -> Val:
-        return self.value(node, scope.as_item(target).bind(**{param: target}))
+        inner = scope.as_item(target)
+        return self.value(node, inner.bind(**{param: inner}))
 
     def apply_function(self, overloads: list[FunctionDecl], args: list[Any], scope: Scope) -> Any:
         first = args[0]
@@ -976,8 +1014,12 @@ class Planner:
 
         def run(f: FunctionDecl) -> Any:
             bindings = {p: a for (p, _), a in zip(f.params, args)} | {TEMPLATES: True}
-            inner = scope.as_item(first).bind(**bindings) if isinstance(first, Val) and not isinstance(first, Closure) else scope.bind(**bindings)
-            return self.evaluate(f.body, inner)
+            if not isinstance(first, Val) or isinstance(first, Closure):
+                return self.evaluate(f.body, scope.bind(**bindings))
+            item = scope.as_item(first)
+            if f.params and first.ty.kind == "record":
+                bindings[f.params[0][0]] = item
+            return self.evaluate(f.body, item.bind(**bindings))
 
         guarded = [f for f in overloads if f.guard and self.type_matches(f.params[0][1], ty)]
         plain = [f for f in overloads if not f.guard]

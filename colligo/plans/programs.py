@@ -293,6 +293,8 @@ def _program(name: str, declarations: str, expression: str, sql: str) -> None:
 _program("predicate_by_type", "predicate big(Order) => Order.o_totalprice > 350000\npredicate big(Customer) => Customer.c_acctbal > 9000\n", "customer:big.Select({id = c_custkey}) + orders:big.Select({id = o_orderkey})", "SELECT c_custkey AS id FROM customer WHERE c_acctbal > 9000 UNION ALL SELECT o_orderkey FROM orders WHERE o_totalprice > 350000")
 _program("predicate_subset", "predicate Rich(customer) => c_acctbal > 9000 && !(c_mktsegment == 'building')\n", "Rich.Select({c_custkey = c_custkey})", "SELECT c_custkey FROM customer WHERE c_acctbal > 9000 AND lower(c_mktsegment) <> 'building'")
 _program("predicate_narrowing", "predicate caught(Statement) => Statement.kind == 'catch'\nfunction said(Statement) => { stmt_id = Statement.stmt_id, m = 'line {line}' }\n", "code_statements:caught:said", "SELECT stmt_id, 'line ' || line AS m FROM code_statements WHERE kind = 'catch'")
+_program("list_element_in_collection", "let handled = code_statements.Where(error_handler && generic).Distinct(kind).Select({word = kind})\npredicate inHandled(Ancestor) => handled:any(word == Ancestor.kind)\n", "code_statements.Where(ancestors:any(inHandled)).Select({stmt_id = stmt_id, line = line})", "SELECT stmt_id, CAST(line AS BIGINT) AS line FROM code_statements WHERE EXISTS (SELECT 1 FROM (SELECT unnest(ancestors) AS a) WHERE lower(a.kind) IN (SELECT lower(kind) FROM code_statements WHERE error_handler AND generic))")
+_program("bound_row_in_subquery", "predicate buys(Customer) => orders:any(Order.o_custkey == Customer.c_custkey && Order.o_totalprice > 350000)\n", "customer:buys.Select({c_custkey = c_custkey})", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 350000)")
 rule("number_predicates", "orders:o_totalprice:gt(100000):o_totalprice:le(200000):o_custkey:ne(7).Select({o_orderkey = o_orderkey, few = o_totalprice:lt(150000), more = o_totalprice:ge(150000), same = o_orderkey:eq(3)})", "SELECT o_orderkey, o_totalprice < 150000 AS few, o_totalprice >= 150000 AS more, o_orderkey = 3 AS same FROM orders WHERE o_totalprice > 100000 AND o_totalprice <= 200000 AND o_custkey <> 7")
 rule("string_empty", "source_files.Where(raw_text:empty).Select({file_id = file_id})", "SELECT file_id FROM source_files WHERE raw_text = ''")
 rule("string_contains_found", "part:p_type:contains('Econ').Select({p_partkey = p_partkey})", "SELECT p_partkey FROM part WHERE contains(lower(p_type), 'econ')")

@@ -107,8 +107,31 @@ def test_correlation_across_collections_and_levels(engine):
     assert names(engine, "a.Types.Where(Name:in(Bans.Name))") == ["Ab", "Bz"]
     assert names(engine, "a.Types.Where(Methods:any(Method.Name.Length > Type.Name.Length + 2))") == ["Ab"]
     assert names(engine, "a.Types.Where(Bans.Where(Ban.Name == Type.Name).Count == 0)") == ["Ba", "Ac"]
-    with pytest.raises(RuleTypeError):
-        engine.collection("a.Types.Where(Methods:any(Bans:any(Ban.Name == Method.Name)))")
+    with pytest.raises(RuleTypeError, match="element of a list"):
+        engine.collection("a.Types.Where(Methods:any(Bans:any(Ban.Name == Method.Name)) || Name == 'x')")
+
+
+def test_collections_seen_from_list_elements(spark):
+    types = spark.createDataFrame([("A", [("Get", ["c"]), ("Get", ["s"]), ("Put", ["c"])]), ("B", [("Get", ["c"])]), ("C", []), ("D", None), ("E", [("Put", None), None]), ("A", [("Get", ["c"]), ("Get", ["s"]), ("Put", ["c"])])], "Name string, Methods array<struct<Name:string,Parameters:array<string>>>")
+    verbs = spark.createDataFrame([("Put",), ("put",), ("Post",), (None,)], "Name string")
+    c = Catalog(spark)
+    c.register("x", "Types", Collection.of(types, "Type", ["Name"]))
+    c.register("x", "Verbs", Collection.of(verbs, "Verb", ["Name"]))
+    e = Engine(spark, c).load("""
+type Method = { Name : string, Parameters : [string] }
+type Type = { Name : string, Methods : [Method] }
+predicate content(Method) => Method.Parameters:any(item == 'c')
+predicate sameName(Method2) => Method2.Name == Method.Name
+predicate overloaded(Method) => Method:content && Type.Methods.Where(Parameters:!any(item == 'c')):any(sameName)
+predicate verb(Method) => Verbs:any(Verb.Name == Method.Name)
+predicate known(Type) => Verbs:any(Verb.Name == Type.Name)
+""")
+    assert names(e, "Types.Where(Methods:any(overloaded))") == ["A", "A"]
+    assert names(e, "Types.Where(Methods:any(verb))") == ["A", "A", "E"]
+    assert names(e, "Types.Where(Methods:any(content && Verbs:any(Verb.Name == Method.Name)) && Name != 'x')") == ["A", "A"]
+    assert names(e, "Types.Where(!Methods:any(verb))") == names(e, "Types.Where(Methods:none(verb))") == ["B", "C", "D"]
+    assert names(e, "Types.Where(Methods:all(verb))") == ["C", "D", "E"]
+    assert names(e, "Types.Methods.Where(verb)") == ["Put", "Put", "Put"] and names(e, "Types:known") == []
 
 
 def test_names(engine):
