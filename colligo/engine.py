@@ -351,7 +351,7 @@ class Engine:
         """One text per item; objects as JSON."""
         c = self.planner.as_collection(value)
         item = c.item()
-        text = F.to_json(item.col, {"pretty": "true"}) if item.ty.kind in ("record", "map") and not item.ty.field("text") else V.template_text(item)
+        text = V.pretty_json(item) if item.ty.kind in ("record", "map") and not item.ty.field("text") else V.template_text(item)
         return c.project(V.Val(text, K.STRING))
 
     def _limited(self, c: Collection) -> Collection:

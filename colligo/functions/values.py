@@ -458,3 +458,31 @@ def list_single(xs: Val) -> Val:
 
 def list_contains(xs: Val, v: Val) -> Column:
     return list_any(xs, lambda x: boolean(equal(x, v)))
+
+
+def pretty_json(v: Val, indent: int = 0) -> Column:
+    """JSON over several lines, four blanks a level: every field in its order, missing values as null, an empty list as []."""
+    pad, inner, ty = " " * indent, " " * (indent + 4), v.ty
+    if ty.kind == "record":
+        fields = [F.concat(F.lit(f'{inner}"{n}": '), pretty_json(Val(v.col[n], t), indent + 4)) for n, t in ty.fields]
+        body = F.concat(F.lit("{\n"), F.concat_ws(",\n", *fields), F.lit(f"\n{pad}}}"))
+    elif ty.kind in ("list", "map"):
+        if ty.kind == "list":
+            items = F.transform(v.col, lambda x: F.concat(F.lit(inner), pretty_json(Val(x, ty.elem), indent + 4)))
+        else:
+            items = F.transform(F.map_entries(v.col), lambda e: F.concat(F.lit(inner + '"'), _json_text(e["key"]), F.lit('": '), pretty_json(Val(e["value"], ty.elem), indent + 4)))
+        opening, closing = "[]" if ty.kind == "list" else "{}"
+        body = F.when(F.size(items) == 0, F.lit(opening + closing)).otherwise(F.concat(F.lit(opening + "\n"), F.array_join(items, ",\n"), F.lit("\n" + pad + closing)))
+    elif ty.kind in ("int", "number"):
+        body = as_text(v)
+    elif ty.kind == "bool":
+        body = F.when(v.col, F.lit("true")).otherwise(F.lit("false"))
+    else:
+        body = F.concat(F.lit('"'), _json_text(as_text(v)), F.lit('"'))
+    return F.coalesce(F.when(v.col.isNotNull(), body), F.lit("null"))
+
+
+def _json_text(text: Column) -> Column:
+    for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        text = F.replace(text, F.lit(plain), F.lit(escaped))
+    return text

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colligo.catalog import Catalog
 from colligo.collection import Collection
 from colligo.engine import Engine
-from colligo.plans.catalogue import ORACLE, QUERIES, query, rule
+from colligo.plans.catalogue import ORACLE, QUERIES, query, rule, value_row
 from colligo.plans.tables import PRELUDE, catalog, engine
-from colligo.runtime import table
+from colligo.runtime import ensure_checkpoint_dir, table
 from colligo.sources import register_all
 
 # Lines of a Markdown file with the number of fence marks so far: a line is outside of fences if it is even and no mark itself.
@@ -305,3 +307,97 @@ rule("glob_minds_case", "source_files.Where(!Path('SRC/**') && Path('src/**')).S
 rule("group_items_orders", "orders.GroupBy(o_custkey).Select({customer = Key, keys = Items.Select(o_orderkey), n = Items.Count})", "SELECT CAST(o_custkey AS VARCHAR) AS customer, list(o_orderkey ORDER BY o_orderkey) AS keys, count(*) AS n FROM orders GROUP BY o_custkey")
 rule("group_text_documents", "documents.GroupBy(project).Select({project = Key, n = Count, ids = Items.Where(n_chars > 20000).Select(doc_id)})", "SELECT coalesce(project, '') AS project, count(*) AS n, coalesce(list(doc_id ORDER BY doc_id) FILTER (n_chars > 20000), []) AS ids FROM documents GROUP BY coalesce(project, '')")
 rule("distinct_skewed_key", "code_statements.Distinct(type_name).Select({first = stmt_id})", "SELECT min(stmt_id) AS first FROM code_statements GROUP BY lower(coalesce(type_name, ''))")
+
+rule("navigate_first_large", "orders.Where(o_totalprice > 300000).Select({o_orderkey = o_orderkey, name = customer.First(Customer.c_custkey == Order.o_custkey).c_name})", "SELECT o_orderkey, c_name AS name FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 300000")
+rule("list_literal_collection", "[3 1 2 5].Where(item > 1)", "SELECT CAST(v AS BIGINT) AS value FROM (VALUES (3), (2), (5)) t(v)")
+rule("literal_escapes", "region.Select({r_regionkey = r_regionkey, s = 'a\\tb\\'c\\\\d' + r_name})", "SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, 'a' || chr(9) || 'b''c' || chr(92) || 'd' || r_name AS s FROM region")
+value_row("first_last_large", {"a": "orders.First(o_orderstatus == 'f').o_orderkey", "z": "orders.Last(o_orderstatus == 'f').o_orderkey", "third": "orders.ElementAt(2).o_orderkey", "one": "customer.Single(c_custkey == 7).c_name"}, "SELECT (SELECT min(o_orderkey) FROM orders WHERE lower(o_orderstatus) = 'f') AS a, (SELECT max(o_orderkey) FROM orders WHERE lower(o_orderstatus) = 'f') AS z, (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 1 OFFSET 2) AS third, (SELECT c_name FROM customer WHERE c_custkey = 7) AS one")
+
+
+@query("SELECT 'deep' AS value UNION ALL SELECT 'wide'")
+def program_arguments(spark: SparkSession, d: str) -> DataFrame:
+    return Engine(spark, catalog(spark, d), arguments=["deep", "wide"]).load(PRELUDE).collection("Program.Args").rows()
+
+
+@query("SELECT n_nationkey || ': ' || n_name AS value FROM nation")
+def sink_into_folder(spark: SparkSession, d: str) -> DataFrame:
+    """A batch program whose output goes to a sink; the tasks write, the lines are read back."""
+    where = f"{ensure_checkpoint_dir(spark)}/sink-{uuid.uuid4().hex}/"
+    engine(spark, d).load(f"foreach nation => '{{n_nationkey}}: {{n_name}}' => file.Write('{where}')\n").run()
+    return spark.read.text(where)
+
+
+@query("SELECT event_id || ' ' || user_id AS value FROM events WHERE event_type = 'purchase'")
+def stream_into_folder(spark: SparkSession, d: str) -> DataFrame:
+    """A program over a stream: found to be one by its collection, run until nothing is left, its lines written by the tasks."""
+    from colligo.streaming.stream import parquet_stream, register_stream, run_stream
+
+    where = f"{ensure_checkpoint_dir(spark)}/sink-{uuid.uuid4().hex}/"
+    e = Engine(spark, Catalog(spark))
+    register_stream(e, "live", "Events", parquet_stream(spark, f"{d}/events.parquet"), "Event")
+    e.load(f"foreach live.Events.Where(event_type == 'purchase') => '{{event_id}} {{user_id}}' => file.Write('{where}')\n")
+    for running in run_stream(e, available_now=True):
+        running.awaitTermination()
+    return spark.read.text(f"{where}batch=*")
+
+
+@query("SELECT 'all sources are empty: is the root right?' AS warning")
+def empty_root_warning(spark: SparkSession, d: str) -> DataFrame:
+    out = Catalog(spark)
+    out.register("db", "customer", lambda: Collection.of(table(spark, d, "customer").where("false"), "Customer", ["c_custkey"]))
+    result = Engine(spark, out).load("command names = foreach customer => '{c_name}'\n").run(["names"])
+    return spark.createDataFrame([(w,) for w in result.warnings], "warning string")
+
+
+@query("""SELECT '{' || chr(10) || '    "id": ' || r_regionkey || ',' || chr(10) || '    "name": "' || r_name || '",' || chr(10) || '    "none": null,' || chr(10) || '    "list": [' || chr(10) || '        "a"' || chr(10) || '    ],' || chr(10) || '    "yes": true' || chr(10) || '}' AS message FROM region""")
+def print_objects_as_json(spark: SparkSession, d: str) -> DataFrame:
+    return _printed(engine(spark, d).load("region.Select({id = r_regionkey, name = r_name, none = nic, list = ['a'], yes = r_regionkey >= 0})\n")).select("message")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_acctbal > 9000 AND ends_with(lower(c_mktsegment), 'ing') AND c_mktsegment <> 'MACHINERY'")
+def type_method_and_text_field(spark: SparkSession, d: str) -> DataFrame:
+    """A method that a source registers for its type, and an object that stands for its text in predicates and comparisons."""
+    from colligo.functions.values import boolean
+
+    e = engine(spark, d)
+    e.program.methods["Buyer", "hasMoreThan"] = lambda v, args: boolean(v.col["c_acctbal"] > args[0].col)
+    rows = table(spark, d, "customer").withColumn("Segment", F.struct(F.col("c_mktsegment").alias("text"), F.lit(1).alias("rank")))
+    e.catalog.register("db", "buyers", lambda: Collection.of(rows, "Buyer", ["c_custkey"]))
+    return e.collection("buyers:hasMoreThan(9000).Where(Buyer.Segment:endsWith('ING') && Buyer.Segment != 'machinery')").rows("c_custkey")
+
+
+rule("function_as_transform", "events.Select(handle)", "SELECT CASE lower(event_type) WHEN 'purchase' THEN 'sell' WHEN 'error' THEN 'alarm' ELSE 'ignore' END AS value FROM events")
+
+
+# specs
+@query("SELECT 'Nation' || n_nationkey AS \"Name\", 'Geo.R' || n_regionkey AS \"Namespace\", 'Place' AS \"BaseModel\", ['id', 'name'] AS properties, CAST(1 AS BIGINT) AS keys FROM nation")
+def typespec_models(spark: SparkSession, d: str) -> DataFrame:
+    """A spec file made for each nation, parsed where its row is."""
+    from colligo.sources.typespec import declared
+
+    n = F.col("n_nationkey")
+    text = F.concat(F.lit("import \"x\";\nnamespace Geo.R"), F.col("n_regionkey"), F.lit(";\n@doc(\"a nation\") model Nation"), n, F.lit(" extends Place {\n  @key id: string;\n  name?: string = \""), F.col("n_name"), F.lit("\";\n}\nenum Color { red }\n"))
+    models = declared(table(spark, d, "nation").select(F.concat(n, F.lit(".tsp")).alias("Path"), text.alias("Text")), "Models")
+    out = models.rows()
+    keys = F.size(F.filter("Properties", lambda p: F.exists(p["Decorators"], lambda x: x["Name"] == "key"))).cast("bigint")
+    return out.select("Name", "Namespace", "BaseModel", F.transform("Properties", lambda p: p["Name"]).alias("properties"), keys.alias("keys"))
+
+
+SPEC = """
+namespace Shop;
+model Person { @key id: string; }
+model Child extends Person { age: int32; }
+@route("/v1") namespace V {
+  @route("/own") interface A { @get op one(@query top?: int32): Person | Error; }
+  interface B { @put op two(@path id: string, @body body: Person): void; }
+  @autoRoute interface C { @get op read(id: string): Child[]; @post op add(@body child: Child): { @statusCode _: 201; @body made: Child }; }
+}
+"""
+
+
+@query("""SELECT * FROM (VALUES ('A', 'one', 'get', '/own', ['200', 'default']), ('B', 'two', 'put', '/v1/{id}', ['204']), ('C', 'read', 'get', '/children/{id}', ['200']), ('C', 'add', 'post', '/children', ['201'])) t("Interface", "Name", "Verb", "Path", codes)""")
+def typespec_http(spark: SparkSession, d: str) -> DataFrame:
+    from colligo.sources.typespec import http_graph, parse_specs
+
+    rows = [(o["Interface"], o["Name"], o["Verb"], o["Path"], [r["StatusCode"] for r in o["Responses"]]) for o in http_graph(parse_specs([SPEC]))["Operations"]]
+    return spark.createDataFrame(rows, "Interface string, Name string, Verb string, Path string, codes array<string>")

@@ -451,7 +451,7 @@ def _graph_at(spark: SparkSession, root: str) -> Graph:
     return parse_specs([t["Text"] for t in texts.orderBy("Path").collect()])
 
 
-def _declared(texts: DataFrame, kind: str) -> Collection:
+def declared(texts: DataFrame, kind: str) -> Collection:
     """The declarations of one kind, each file parsed where it is read."""
     schema = f"struct<{_colons(SCHEMAS[kind])}>"
 
@@ -499,7 +499,7 @@ def _tuple(value, kind):
 
 def source(spark: SparkSession, root: str, names: Sequence[str]) -> Mapping[str, Collection]:
     texts = read_texts(spark, root, "*.tsp")
-    return {n: _declared(texts, n) for n in names if n in SCHEMAS}
+    return {n: declared(texts, n) for n in names if n in SCHEMAS}
 
 
 def http_source(spark: SparkSession, root: str, names: Sequence[str]) -> Mapping[str, Collection]:

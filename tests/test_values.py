@@ -102,3 +102,17 @@ def test_numeric_filter_reaches_the_scan(spark, sf):
 def test_empty_collection(items):
     none = items.where("id > 99")
     assert ids(none) == [] and ids(none.distinct("s")) == [] and none.group_by("s").collect().rows().count() == 0
+
+
+def test_pretty_json(spark):
+    from colligo.functions import types as K
+    from colligo.functions.values import Val, pretty_json
+
+    df = spark.createDataFrame([(1, 2.5, None, "a\"b\\c\n", [], [("x", None)], True)], "i bigint, d double, n string, s string, e array<int>, l array<struct<k:string,v:bigint>>, b boolean")
+    ty = K.from_spark(df.schema)
+    item = F.struct(*df.columns)
+    import json
+
+    text = df.select(pretty_json(Val(item, ty)).alias("x")).first()[0]
+    assert json.loads(text) == {"i": 1, "d": 2.5, "n": None, "s": "a\"b\\c\n", "e": [], "l": [{"k": "x", "v": None}], "b": True}
+    assert text.split("\n")[:3] == ["{", '    "i": 1,', '    "d": 2.5,'] and '            "k": "x",' in text.split("\n")
