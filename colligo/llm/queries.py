@@ -76,8 +76,14 @@ _MIXTURES: dict[tuple[str, str], mixing.Mixture] = {}
 
 
 def _mixture(spark: SparkSession, d: str) -> mixing.Mixture:
-    """One plan, measured once, for the three reports over a directory; the last one asked for is kept."""
+    """One plan, measured once, for the three reports over a directory; the last one asked for is kept, as long as what it
+    wrote into the checkpoint folder is there."""
     key = (spark.sparkContext.applicationId, d)
+    if key in _MIXTURES:
+        try:
+            _MIXTURES[key].texts.isEmpty()
+        except Exception:  # noqa: BLE001  whatever the file system says of a folder that was cleared
+            del _MIXTURES[key]
     if key not in _MIXTURES:
         _MIXTURES.clear()
         _MIXTURES[key] = mixing.Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
