@@ -270,7 +270,7 @@ def imported_package(spark: SparkSession, d: str) -> DataFrame:
     return e.collection("found").rows("severity", "message")
 
 
-@query("SELECT c_name || ': error: debt of ' || c_acctbal AS line FROM customer WHERE c_acctbal < -900")
+@query(r"SELECT c_name || ': error: debt of ' || regexp_replace(CAST(c_acctbal AS VARCHAR), '\.0$', '') AS line FROM customer WHERE c_acctbal < -900")
 def check_format(spark: SparkSession, d: str) -> DataFrame:
     e = engine(spark, d).load("export let debts = customer.Where(c_acctbal < 0 - 900).Select(Violation { Severity = 'error', Message = 'debt of {c_acctbal}', Source = c_name })\n")
     return e.format_violations(e.check()).rows().withColumnRenamed("value", "line")
